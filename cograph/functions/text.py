@@ -55,15 +55,19 @@ def clean_label_newline(s: str | Column) -> Column:
     return F.replace(_col(s), F.lit("\n"), F.lit("\\n"))
 
 
+# Whitespace removed by a strip (space, tab, newline, carriage return).
+STRIP_CHARS = " \t\n\r"
+
+
 def clean_label_strip(s: str | Column) -> Column:
     """P7 (shift table): surrounding whitespace removed."""
-    return F.trim(_col(s))
+    return F.btrim(_col(s), F.lit(STRIP_CHARS))
 
 
 def clean_label_ego(s: str | Column) -> Column:
     """P7 (ego plot): the BPE space marker removed, then stripped."""
     # Fixed value: the byte-level BPE space marker.
-    return F.trim(F.replace(_col(s), F.lit("Ġ"), F.lit("")))
+    return F.btrim(F.replace(_col(s), F.lit("Ġ"), F.lit("")), F.lit(STRIP_CHARS))
 
 
 def _sql(c: str | Column) -> str:

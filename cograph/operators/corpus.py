@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_KEYWORDS, keyword_match, words
+from ..session import cut_lineage
 
 CONTEXT_WINDOW = 2048  # fixed value: the reference's context window (tokens)
 ACCUMULATE_BATCH = 1000  # fixed value: rows per accumulation batch
@@ -64,9 +65,9 @@ def sample_order(df: DataFrame, strategy: str = "first", key: str = "doc_id", se
 def global_index(df: DataFrame, order_col: str = "order_key", name: str = "idx") -> DataFrame:
     """0-based dense position of each row in ``order_col`` order, computed in parallel.
 
-    ``order_col`` must be unique. Rows are range-partitioned and sorted within partitions; the
-    per-partition counts (one small row each) become offsets via a running sum, which is
-    broadcast back. No single task ever holds more than its own range.
+    ``order_col`` must be unique. Rows are range-partitioned and sorted within partitions, numbered
+    locally and written once; the per-partition counts (one small row each) become offsets via a
+    running sum, which is broadcast back. No single task ever holds more than its own range.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -74,10 +75,14 @@ def global_index(df: DataFrame, order_col: str = "order_key", name: str = "idx")
     # monotonically_increasing_id = (partition id << 33) + position within the partition:
     # the local position comes from the same stage, with no further shuffle.
     pid = F.spark_partition_id()
-    local = ranged.select(
-        "*",
-        pid.alias("_pid"),
-        (F.monotonically_increasing_id() - pid.cast("bigint") * F.lit(1 << 33)).alias("_local"),
+    # Materialised once (shared checkpoint folder): the per-partition counts and the numbered rows
+    # must come from the very same range partitioning, and a lost executor must not renumber rows.
+    local = cut_lineage(
+        ranged.select(
+            "*",
+            pid.alias("_pid"),
+            (F.monotonically_increasing_id() - pid.cast("bigint") * F.lit(1 << 33)).alias("_local"),
+        )
     )
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(

@@ -6,6 +6,7 @@ On a cluster the session is built by the caller; the library only reads its sett
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +53,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the session's checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as Parquet in the session's shared checkpoint folder and read it back.
+
+    One computation (an eager RDD checkpoint runs the plan twice), the lineage is cut, the copy
+    survives executor loss, and the re-read scan carries file statistics for AQE.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cograph-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
