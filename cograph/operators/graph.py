@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import bounded_broadcast
 
 # Defaults of the reference configuration (fixed values).
 MIN_COOCCURRENCE = 5
@@ -81,29 +81,49 @@ def cooccurrence_pairs(
     Features with n_i < min_count are dropped before pairing (lossless: n_ij <= n_i).
     """
     freq = feature_frequency(contexts, ctx, features)
-    kept = freq.filter(F.col("frequency") >= min_count)
-    return _pairs(contexts, kept, ctx, features, n_contexts=None, phi_threshold=None, min_count=min_count)
+    ids = _feature_ids(freq.filter(F.col("frequency") >= min_count))
+    counted = _pairs(contexts, ids, ctx, features, n_contexts=None, phi_threshold=None, min_count=min_count)
+    return _decode(counted, ids).select("i", "j", "n_ij")
 
 
-def _pairs(contexts, kept, ctx, features, n_contexts, phi_threshold, min_count) -> DataFrame:
-    kept_side, _ = bounded_broadcast(kept.select("feature", "frequency"))
-    lf = long_form(contexts, ctx, features).join(kept_side, "feature")
-    per_ctx = lf.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("feature", "frequency"))).alias("fs"))
+def _feature_ids(kept: DataFrame) -> DataFrame:
+    """Dense int ids in feature order (so id order == feature order), materialised once.
+
+    Pairs are then formed, shuffled and counted as two ints instead of two feature values.
+    """
+    from .corpus import global_index
+
+    return global_index(kept.select("feature", "frequency"), "feature", "fid").withColumn("fid", F.col("fid").cast("int"))
+
+
+def _pairs(contexts, ids, ctx, features, n_contexts, phi_threshold, min_count) -> DataFrame:
+    """(fi, fj, n_ij) over int ids; ``ids`` is (feature, frequency, fid)."""
+    id_side, _ = bounded_broadcast(ids.select("feature", "fid", "frequency"))
+    lf = long_form(contexts, ctx, features).join(id_side, "feature")
+    per_ctx = lf.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("fid", "frequency"))).alias("fs"))
     per_ctx = per_ctx.filter(F.size("fs") >= 2)
     left = per_ctx.select("fs", F.posexplode("fs").alias("p", "a"))
     pairs = left.select(F.col("a"), F.explode(F.slice("fs", F.col("p") + 2, F.size("fs"))).alias("b"))
     pairs = pairs.select(
-        F.col("a.feature").alias("i"),
-        F.col("b.feature").alias("j"),
+        F.col("a.fid").alias("fi"),
+        F.col("b.fid").alias("fj"),
         F.col("a.frequency").alias("n_i"),
         F.col("b.frequency").alias("n_j"),
     )
     if phi_threshold is not None and n_contexts is not None and phi_threshold >= 0:
         pairs = pairs.filter(_phi_bound(F.col("n_i"), F.col("n_j"), n_contexts) > F.lit(phi_threshold - _BOUND_MARGIN))
-    counted = pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_ij"))
+    counted = pairs.groupBy("fi", "fj").agg(F.count(F.lit(1)).alias("n_ij"))
     return counted.filter(F.col("n_ij") >= min_count)
 
 
+def _decode(counted: DataFrame, ids: DataFrame) -> DataFrame:
+    """Map int pair ids back to features, carrying both frequencies: (i, j, n_ij, n_i, n_j)."""
+    side, _ = bounded_broadcast(ids.select("fid", "feature", "frequency"))
+    a = side.select(F.col("fid").alias("fi"), F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
+    b = side.select(F.col("fid").alias("fj"), F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
+    return counted.join(a, "fi").join(b, "fj").select("i", "j", "n_ij", "n_i", "n_j")
+
+
 def phi_edges(
     pairs: DataFrame,
     frequency: DataFrame,
@@ -116,14 +136,7 @@ def phi_edges(
     fi = freq_side.select(F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
     fj = freq_side.select(F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
     p = pairs.filter(F.col("n_ij") >= min_cooccurrence).join(fi, "i").join(fj, "j")
-    n = float(n_contexts)
-    denom_ok = (F.col("n_i") < F.lit(n)) & (F.col("n_j") < F.lit(n)) & (F.col("n_i") > 0) & (F.col("n_j") > 0)
-    phi = _phi(F.col("n_ij"), F.col("n_i"), F.col("n_j"), n)
-    return (
-        p.filter(denom_ok)
-        .select(F.col("i").alias("src"), F.col("j").alias("dst"), phi.alias("weight"))
-        .filter(F.col("weight") > F.lit(float(phi_threshold)))
-    )
+    return _weigh(p, n_contexts, phi_threshold)
 
 
 def build_graph(
@@ -142,14 +155,26 @@ def build_graph(
     min_c = max(int(min_cooccurrence), 1)
     freq = feature_frequency(contexts, ctx, features)
     # Prefilters: n_ij <= min(n_i, n_j), and n_i == N gives a zero denominator. The kept table is
-    # small (one row per feature) and used three times, so it is materialised once.
-    kept = cut_lineage(freq.filter((F.col("frequency") >= min_c) & (F.col("frequency") < F.lit(n))))
-    counted = _pairs(contexts, kept, ctx, features, n_contexts=n, phi_threshold=phi_threshold, min_count=min_c)
-    edges = phi_edges(counted, kept, n, min_cooccurrence, phi_threshold)
-    nodes = node_attributes(edges, kept)
+    # one row per feature; it gets dense int ids once and is reused for pairing and decoding.
+    ids = _feature_ids(freq.filter((F.col("frequency") >= min_c) & (F.col("frequency") < F.lit(n))))
+    counted = _pairs(contexts, ids, ctx, features, n_contexts=n, phi_threshold=phi_threshold, min_count=min_c)
+    decoded = _decode(counted.filter(F.col("n_ij") >= int(min_cooccurrence)), ids)
+    edges = _weigh(decoded, n, phi_threshold)
+    nodes = node_attributes(edges, ids.select("feature", "frequency"))
     return edges, nodes
 
 
+def _weigh(p: DataFrame, n: float, phi_threshold: float) -> DataFrame:
+    n = float(n)
+    denom_ok = (F.col("n_i") < F.lit(n)) & (F.col("n_j") < F.lit(n)) & (F.col("n_i") > 0) & (F.col("n_j") > 0)
+    phi = _phi(F.col("n_ij"), F.col("n_i"), F.col("n_j"), n)
+    return (
+        p.filter(denom_ok)
+        .select(F.col("i").alias("src"), F.col("j").alias("dst"), phi.alias("weight"))
+        .filter(F.col("weight") > F.lit(float(phi_threshold)))
+    )
+
+
 def node_attributes(edges: DataFrame, frequency: DataFrame) -> DataFrame:
     """A5: (id, frequency) for features with at least one edge."""
     ends = edges.select(F.col("src").alias("feature")).union(edges.select(F.col("dst").alias("feature")))

@@ -63,7 +63,8 @@ def word_contexts(spark, d) -> DataFrame:
 
 def words_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     def build():
-        ctx = word_contexts(spark, d)
+        # contexts are written once (the feature-set cache) and scanned three times by the graph
+        ctx = cut_lineage(word_contexts(spark, d))
         e, n = G.build_graph(ctx, MIN_COOC, PHI)
         return cut_lineage(e), cut_lineage(n)
 
@@ -79,7 +80,7 @@ def corpus_graph(spark, d, which: str) -> tuple[DataFrame, DataFrame]:
             sel = docs.filter(F.col("lang") == ANCHOR_LANG)
         else:
             sel = C.keyword_filter(docs.filter(F.col("lang") != ANCHOR_LANG), KEYWORDS)
-        ctx = C.text_contexts(C.tokenize(sel), WINDOW).withColumn("ctx", F.struct("doc_id", "win"))
+        ctx = cut_lineage(C.text_contexts(C.tokenize(sel), WINDOW).withColumn("ctx", F.struct("doc_id", "win")))
         e, n = G.build_graph(ctx, MIN_COOC, PHI)
         return cut_lineage(e), cut_lineage(n)
 
