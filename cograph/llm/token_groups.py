@@ -2,13 +2,13 @@
 
 Texts become sets of distinct five-word shingles (64-bit hashes). Equal sets are one class, of which the
 smallest id goes on. The classes are partitioned into groups of similar texts: rows that share a min-hash
-are compared with the smallest row that has it, and linked rows form a group. The matrix holds, for every
+are compared with the smallest of them, and linked rows form a group. The matrix holds, for every
 token, the groups in whose union it lies; unions are taken over the members' prefixes, which is enough:
 with all tokens in one order (rare before frequent, then by hash) two sets of Jaccard similarity t share a
 token among the first n - ceil(t n) + 1 of each. So a token of one group alone opens nothing; a token in
 several groups opens those whose bounds allow it: a query of n shingles whose first match is at position p
-overlaps a member of m shingles in at most min(n - p, m - q), which must reach t / (1 + t) (n + m). Opened
-pairs are compared exactly. No link between groups can be lost; links within a group change nothing.
+overlaps a member of m shingles in at most min(n - p, m - q), and in at most its matches plus what follows the
+prefixes; that must reach t / (1 + t) (n + m). Opened pairs are compared exactly. No link between groups can be lost; links within a group change nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -110,14 +110,21 @@ def _token_sets(width: int):
     return token_sets
 
 
+def reachable(common, n_x, n_y, percent: int):
+    """Can two sets of ``n_x`` and ``n_y`` tokens whose prefixes share ``common`` reach the similarity? All shared
+    tokens up to the end of the prefix that ends first are among the common ones; after it one set has its rest."""
+    rest = lambda n: F.ceil(F.lit(percent) * n / 100) - 1  # noqa: E731  n less its prefix
+    return (100 + percent) * (common + F.greatest(rest(n_x), rest(n_y))) >= percent * (n_x + n_y)
+
+
 def _linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b) whose whole sets reach the similarity. Ids that repeat link by any of their texts."""
     ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = cut_lineage(texts.join(small(ids), "id", "left_semi").select("id", _token_sets(width)("text").alias("tokens")).dropDuplicates(["id"]))
+    sets = cut_lineage(texts.join(small(ids), "id", "left_semi").select("id", _token_sets(width)("text").alias("tokens")))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return cut_lineage(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b"))
+    return cut_lineage(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b").distinct())
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -136,29 +143,37 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = marked.where("n > 0 AND id IS NOT NULL")
     same = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     member = cut_lineage(marked.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id IS NOT NULL").select("id", "rep", "n"))
-    reps = marked.join(cut_lineage(member.where("id = rep").select("id", "n").distinct()), ["id", "n"], "left_semi")
-
-    # groups: every row against the smallest row that shares a min-hash with it
-    keyed = cut_lineage(reps.select("id", "n", F.posexplode("keys").alias("k", "key")))
-    hub = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
-    star = keyed.join(hub, ["k", "key"]).where((F.col("id") != F.col("hub.id")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
-    star = cut_lineage(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = _linked(texts, star, width, percent)
+    first = cut_lineage(member.where("id = rep").select("id", "n").distinct())
+    reps = marked.join(small(first), ["id", "n"])
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and whole prefixes allow the similarity."""
+        pairs = cut_lineage(pairs)
+        met = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        heads = reps.join(small(met), "id", "left_semi")
+        head = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
+        both = pairs.join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return cut_lineage(both.where(reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
+
+    # groups: a star around the smallest row that shares a min-hash
     repeated = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = cut_lineage(links.unionByName(repeated))
+    keyed = cut_lineage(reps.select("id", F.posexplode("keys").alias("k", "key")))
+    root = keyed.groupBy("k", "key").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").drop("last")
+    star = keyed.join(root, ["k", "key"]).where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut_lineage(repeated.unionByName(_linked(texts, screened(star), width, percent)))
     group = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
+    grouped = cut_lineage(first.join(group, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp")))
 
-    # token-group matrix over prefixes; only tokens in several groups open pairs
-    rows = reps.join(group, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp"), "prefix")
-    rows = cut_lineage(rows).select("id", "n", "grp", F.posexplode("prefix").alias("p", "token"))
-    matrix = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2")
-    opened = cut_lineage(rows.join(small(cut_lineage(matrix.select("token"))), "token"))
+    # token-group matrix over prefixes, one shuffle by token; only tokens in several groups open pairs
+    rows = marked.select("id", "n", "prefix").join(small(grouped), ["id", "n"]).select("id", "n", "grp", F.posexplode("prefix").alias("p", "token"))
+    holders = Window.partitionBy("token")
+    opened = rows.withColumn("g1", F.min("grp").over(holders)).withColumn("g2", F.max("grp").over(holders)).where("g1 < g2")
+    opened = cut_lineage(opened.select("token", "id", "n", "grp", "p"))
     x, y = opened.select(*[F.col(c).alias(f"{c}_x") for c in opened.columns]), opened.select(*[F.col(c).alias(f"{c}_y") for c in opened.columns])
-    total = F.col("n_x") + F.col("n_y")
-    bound = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    most = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
     pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("grp_x") != F.col("grp_y"))
-                   & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * bound >= percent * total))
-    pairs = cut_lineage(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
+                   & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))))
+    pairs = screened(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
     links = links.unionByName(_linked(texts, pairs, width, percent))
     whole = components(links).select(F.col("node").alias("rep"), F.col("component"))
     classes = member.join(whole, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
