@@ -66,20 +66,26 @@ def lengths(n: int, max_len: int) -> list[int]:
 def token_pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     """Column function: text -> its pieces (start, length, ids_crc32, and ids if asked)."""
     fields = "start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])))
 
     @F.arrow_udf(f"array<struct<{fields}>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        encode, end, out = _encoder(path), np.array([end_id], "<u4").tobytes(), []
-        for text in texts:
-            data, at, doc = encode(text.as_py() or "") + end, 0, []
+        encode, end, crc32 = _encoder(path), array("I", [end_id]).tobytes(), zlib.crc32
+        starts, sizes, crcs, ids, bounds = array("q"), array("q"), array("q"), [], array("i", [0])
+        for text in texts.to_pylist():
+            data, at = (encode(text) if text else b"") + end, 0
             for n in lengths(len(data) // 4, max_len):
                 part = data[4 * at : 4 * (at + n)]
-                piece = {"start": at, "length": n, "ids_crc32": zlib.crc32(part)}
-                doc.append(piece | {"ids": np.frombuffer(part, "<i4")} if with_ids else piece)
+                starts.append(at), sizes.append(n), crcs.append(crc32(part))
+                if with_ids:
+                    ids.append(part)
                 at += n
-            out.append(doc)
-        return pa.array(out, kind)
+            bounds.append(len(starts))
+        columns = [pa.array(np.frombuffer(x, np.int64), pa.int64()) for x in (starts, sizes, crcs)]
+        if with_ids:
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+        rows = pa.StructArray.from_arrays(columns, names=["start", "length", "ids_crc32", "ids"][: len(columns)])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(bounds, np.int32)), rows)
 
     return pieces
 
