@@ -178,11 +178,10 @@ def best_model(metrics: DataFrame) -> DataFrame:
 
 def confusion_matrix(pred: DataFrame) -> DataFrame:
     """rows = true label, columns pred_0 / pred_1, missing cells 0."""
-    p = pred.select(F.col("label").alias("true_label"), F.col("pred").cast("int").alias("p"))
-    return p.groupBy("true_label").agg(
-        F.sum((F.col("p") == 0).cast("bigint")).alias("pred_0"),
-        F.sum((F.col("p") == 1).cast("bigint")).alias("pred_1"),
-    )
+    y, p = F.col("label").cast("int"), F.col("pred").cast("int")
+    cell = lambda t, c: F.count(F.when((y == t) & (p == c), 1))
+    cells = pred.agg(*[cell(t, c).alias(f"c{t}{c}") for t in (0, 1) for c in (0, 1)])
+    return cells.select(F.expr("stack(2, 0, c00, c01, 1, c10, c11) AS (true_label, pred_0, pred_1)"))
 
 
 def classification_report(pred: DataFrame) -> DataFrame:

@@ -49,16 +49,24 @@ def mask_padding(tokens: DataFrame, pad_id, token: str = "token") -> DataFrame:
     return tokens.filter(F.col(token) != F.lit(pad_id))
 
 
+def _descending(df: DataFrame, key: str):
+    """A column whose ascending order is the descending order of ``key``: numbers negated, others by the complement
+    of their bytes in hex, closed by a sign above all digits so that longer strings precede their prefixes."""
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return -F.col(key)
+    return F.concat(F.translate(F.hex(F.col(key).cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def sample_order(df: DataFrame, strategy: str = "first", key: str = "doc_id", seed: int = RANDOM_SEED) -> DataFrame:
     """Add ``order_key`` — first: key ascending; last: descending; random: md5(key||seed)."""
     if strategy == "first":
         ok = F.struct(F.col(key).alias("k"))
     elif strategy == "last":
-        ok = F.struct((-F.col(key)).alias("k"))
+        ok = F.struct(_descending(df, key).alias("k"))
     elif strategy == "random":
         ok = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))).alias("h"), F.col(key).alias("k"))
     else:
-        raise ValueError(f"Unknown sampling_strategy: {strategy}. Use 'first', 'last', or 'random'.")
+        raise ValueError(f"no sampling strategy {strategy!r}; known: first, last, random")
     return df.withColumn("order_key", ok)
 
 

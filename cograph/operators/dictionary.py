@@ -178,7 +178,7 @@ def probe_top_features(
 ) -> DataFrame:
     """The k strongest (unthresholded) activations at the located token; rank 1..k."""
     at = vector_at(tokens, locate_target(tokens, target, seq), seq)
-    acts = encode_features(at, dictionary, [*_keys(seq), "token"], vector, threshold=0.0)
+    acts = encode_features(at, dictionary, [*_keys(seq), "token"], vector, threshold=None)
     return top_k_per_group(acts, _keys(seq), "act", k, tie="feature")
 
 
@@ -187,7 +187,7 @@ def neighbours(edges: DataFrame, ids: DataFrame, k: int = 4, id_col: str = "feat
     sym = symmetrize(edges).withColumnRenamed("id", id_col)
     j = ids.select(id_col).distinct().join(sym, id_col, "left")
     w = Window.partitionBy(id_col).orderBy(F.col("weight").desc_nulls_last(), F.col("nbr").asc())
-    return j.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) | F.col("nbr").isNull())
+    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def format_neighbours(nbrs: DataFrame, labels: DataFrame | None = None, id_col: str = "feature") -> DataFrame:
@@ -211,12 +211,12 @@ def ego_graph(edges: DataFrame, target, radius: int = 1) -> tuple[DataFrame, Dat
     """(nodes(id, is_target, weight_to_target), edges among them); empty when the target is absent."""
     sym = symmetrize(edges)
     nodes = sym.filter(F.col("id") == F.lit(target)).select(F.col("nbr").alias("id"), F.col("weight").alias("weight_to_target"))
-    for _ in range(radius - 1):
+    for _ in range(radius - 1):  # the target itself is no neighbour
         nodes = nodes.unionByName(
             sym.join(nodes.select(F.col("id").alias("_s")), F.col("id") == F.col("_s"), "left_semi").select(
                 F.col("nbr").alias("id"), F.lit(None).cast("double").alias("weight_to_target")
             )
-        ).groupBy("id").agg(F.max("weight_to_target").alias("weight_to_target"))
+        ).filter(F.col("id") != F.lit(target)).groupBy("id").agg(F.max("weight_to_target").alias("weight_to_target"))
     present = sym.filter(F.col("id") == F.lit(target)).select("id").limit(1)
     all_nodes = nodes.withColumn("is_target", F.lit(False)).unionByName(
         present.select("id", F.lit(None).cast("double").alias("weight_to_target"), F.lit(True).alias("is_target"))

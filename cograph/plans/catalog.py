@@ -745,7 +745,7 @@ def last_token_vector(spark, d):
     "probe_top_features",
     f"""WITH {TOKVEC_SQL}, {DICT_SQL}, atk AS (
       SELECT tv.conv_id, tv.turn, tv.vec_id FROM tv JOIN loc ON tv.conv_id = loc.conv_id AND tv.turn = loc.turn AND tv.pos = loc.target_pos),
-    pa AS (SELECT atk.conv_id, atk.turn, a.feature::INT AS feature, a.act FROM atk JOIN acts a USING (vec_id) WHERE a.act > 0),
+    pa AS (SELECT atk.conv_id, atk.turn, a.feature::INT AS feature, a.act FROM atk JOIN acts a USING (vec_id)),
     rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY act DESC, feature) AS rank FROM pa)
     SELECT conv_id, turn, feature, round(act, 9) AS act, rank::INT AS rank FROM rk WHERE rank <= 3""",
 )

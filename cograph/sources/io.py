@@ -26,19 +26,19 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """S3: by extension (case-insensitive): .csv (header, inferred types) or .parquet."""
     if not _fs_exists(spark, path):
-        raise FileNotFoundError(f"Input file not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     ext = Path(path).suffix.lower()
     if ext == ".csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if ext == ".parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported file format: {ext}. Use .csv or .parquet")
+    raise ValueError(f"cannot read {ext or 'files without suffix'}: a table is .csv or .parquet")
 
 
 def csv_to_parquet(spark: SparkSession, src: str, dst: str | None = None) -> str:
     """CSV -> Parquet; default destination replaces the .csv suffix; no index column."""
     if dst is None:
-        dst = str(Path(src).with_suffix(".parquet"))
+        dst = (src[:-4] if src.lower().endswith(".csv") else src) + ".parquet"  # a URI, not a local path
     spark.read.option("header", True).option("inferSchema", True).csv(src).write.mode("overwrite").parquet(dst)
     return dst
 
