@@ -14,10 +14,14 @@ from ..session import cut_lineage
 
 #: Rows up to which a counted side may be broadcast (a row here is a few numbers: tens of MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package's code to the Python workers (as ``--py-files`` does), once for each version of it."""
+    """Give this package's code to the Python workers (as ``--py-files`` does), once for each version of it,
+    and bound the batches they are sent, so that a worker's memory does not follow the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     top = Path(__file__).resolve().parents[1]
     files = {p: p.read_bytes() for p in sorted(top.rglob("*.py"))}
     name = f"{top.name}-{hashlib.sha256(b''.join(files.values())).hexdigest()[:12]}.zip"

@@ -47,7 +47,7 @@ def _frequent(width: int, least: int):
     return count
 
 
-def frequent_tokens(texts: DataFrame, width: int, least: int = 8, bound: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(texts: DataFrame, width: int, least: int = 3, bound: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and their counts over all texts, the ``bound`` most frequent at most.
 
     They only set the order in which tokens are tried; any order gives the same links.
@@ -123,7 +123,7 @@ def _linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     sets = cut_lineage(texts.join(small(ids), "id", "left_semi").select("id", _token_sets(width)("text").alias("tokens")))
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = small(pairs).join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return cut_lineage(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b").distinct())
 
 
@@ -152,7 +152,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         heads = reps.join(small(met), "id", "left_semi")
         head = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
-        both = pairs.join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        both = small(pairs).join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return cut_lineage(both.where(reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
 
     # groups: a star around the smallest row that shares a min-hash
