@@ -2,8 +2,7 @@
 
 Models are ``pyspark.ml`` estimators over ``VectorUDT`` columns. The reference's exact dual
 kernel SVMs are re-aimed: linear -> LinearSVC; rbf -> LinearSVC on a seeded random Fourier feature
-map (Arrow-batched pandas UDF); poly -> LinearSVC on a degree-3 PolynomialExpansion of the leading
-principal components. Evaluation tables are plain aggregates over a predictions table.
+map (Arrow-batched pandas UDF); poly -> LinearSVC on random features of the cubic kernel. Evaluation tables are plain aggregates over a predictions table.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import PCA, PolynomialExpansion
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,17 +124,29 @@ def svm_rbf(train: DataFrame, test: DataFrame, z: str = "z", n_features: int = 5
     return model.transform(tr), model.transform(te)
 
 
-def svm_poly(train: DataFrame, test: DataFrame, z: str = "z", n_components: int = 8):
-    """M7: cubic polynomial kernel approximated by PolynomialExpansion(3) on leading components."""
-    tr = train.withColumn("_v", array_to_vector(z))
-    te = test.withColumn("_v", array_to_vector(z))
+def _cubic_udf(d: int, n_features: int, gamma: float, seed: int):
+    """Random features whose inner products estimate (gamma x.y)^3: products of three random sign sums."""
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(3, d, n_features))
+    scale = gamma**1.5 / math.sqrt(n_features)
+
+    @F.pandas_udf("array<double>")
+    def cubic(col: pd.Series) -> pd.Series:
+        x = np.stack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_list()) if len(col) else np.zeros((0, d))
+        return pd.Series(list(scale * (x @ signs[0]) * (x @ signs[1]) * (x @ signs[2])))
+
+    return cubic
+
+
+def svm_poly(train: DataFrame, test: DataFrame, z: str = "z", n_features: int = 1024, seed: int = SEED):
+    """M7: cubic polynomial kernel (gamma='scale', no constant) over all dimensions, by unbiased random features;
+    the error of a kernel value falls with the square root of ``n_features``."""
     d = len(train.select(z).first()[0])
-    pca = PCA(k=min(n_components, d), inputCol="_v", outputCol="_p").fit(tr)
-    poly = PolynomialExpansion(degree=3, inputCol="_p", outputCol="f")
-    tr2 = poly.transform(pca.transform(tr))
-    te2 = poly.transform(pca.transform(te))
-    model = _svc().fit(tr2)
-    return model.transform(tr2), model.transform(te2)
+    var = train.select(F.explode(z).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+    cubic = _cubic_udf(d, n_features, 1.0 / (d * var) if var > 0 else 1.0, seed)
+    tr = train.withColumn("f", array_to_vector(cubic(F.col(z))))
+    te = test.withColumn("f", array_to_vector(cubic(F.col(z))))
+    model = _svc().fit(tr)
+    return model.transform(tr), model.transform(te)
 
 
 def predictions_table(pred: DataFrame, topic: str = "topic") -> DataFrame:
@@ -186,34 +196,27 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
 
 def classification_report(pred: DataFrame) -> DataFrame:
     """Precision / recall / f1 / support per class, then accuracy, macro avg, weighted avg (0 when undefined)."""
-    p = pred.select(F.col("label").cast("int").alias("y"), F.col("pred").cast("int").alias("p"))
-    per = []
-    for cls, name in enumerate(LABEL_NAMES):
-        tp = F.sum(((F.col("y") == cls) & (F.col("p") == cls)).cast("double"))
-        pp = F.sum((F.col("p") == cls).cast("double"))
-        sup = F.sum((F.col("y") == cls).cast("double"))
-        per.append(p.agg(F.lit(name).alias("class"), F.lit(cls).alias("ord"), tp.alias("tp"), pp.alias("pp"), sup.alias("support")))
-    base = per[0].unionByName(per[1])
-    prec = F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    m = base.select("class", "ord", prec.alias("precision"), rec.alias("recall"), "support", "tp")
-    m = m.withColumn(
-        "f1",
-        F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)),
-    )
-    total = F.sum("support")
-    acc = m.agg(F.lit("accuracy").alias("class"), F.lit(2).alias("ord"), (F.sum("tp") / total).alias("precision"), (F.sum("tp") / total).alias("recall"), (F.sum("tp") / total).alias("f1"), total.alias("support"))
-    macro = m.agg(F.lit("macro avg").alias("class"), F.lit(3).alias("ord"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), total.alias("support"))
-    wavg = m.agg(
-        F.lit("weighted avg").alias("class"),
-        F.lit(4).alias("ord"),
-        (F.sum(F.col("precision") * F.col("support")) / total).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / total).alias("f1"),
-        total.alias("support"),
-    )
-    cols = ["class", "ord", "precision", "recall", "f1", "support"]
-    return m.select(*cols).unionByName(acc.select(*cols)).unionByName(macro.select(*cols)).unionByName(wavg.select(*cols))
+    y, p = F.col("label").cast("int"), F.col("pred").cast("int")
+    hits = lambda flag: F.coalesce(F.sum(flag.cast("double")), F.lit(0.0))
+    counts = pred.agg(*[c for k in (0, 1) for c in (
+        hits((y == k) & (p == k)).alias(f"tp{k}"), hits(p == k).alias(f"pp{k}"), hits(y == k).alias(f"support{k}"))])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    for k in (0, 1):
+        tp = F.col(f"tp{k}")
+        counts = counts.withColumn(f"precision{k}", share(tp, F.col(f"pp{k}"))).withColumn(f"recall{k}", share(tp, F.col(f"support{k}")))
+        pr, rc = F.col(f"precision{k}"), F.col(f"recall{k}")
+        counts = counts.withColumn(f"f1{k}", share(2 * pr * rc, pr + rc))
+    n = F.col("support0") + F.col("support1")
+    both = lambda name, w0, w1: F.col(f"{name}0") * w0 + F.col(f"{name}1") * w1
+    right = share(F.col("tp0") + F.col("tp1"), n)
+    line = lambda name, k, vals, support: F.struct(
+        F.lit(name).alias("class"), F.lit(k).alias("ord"), *[v.alias(m) for m, v in zip(("precision", "recall", "f1"), vals)], support.alias("support"))
+    names = ("precision", "recall", "f1")
+    rows = [line(LABEL_NAMES[k], k, [F.col(f"{m}{k}") for m in names], F.col(f"support{k}")) for k in (0, 1)]
+    rows.append(line("accuracy", 2, [right] * 3, n))
+    rows.append(line("macro avg", 3, [both(m, 0.5, 0.5) for m in names], n))
+    rows.append(line("weighted avg", 4, [share(both(m, F.col("support0"), F.col("support1")), n) for m in names], n))
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def per_topic_accuracy(pred: DataFrame, topic: str = "topic") -> DataFrame:

@@ -139,16 +139,23 @@ def louvain_round(edges: DataFrame, communities: DataFrame | None = None, eligib
     return _round(sym, communities, k, two_m, eligible, eps)
 
 
-def _round(sym, comm, k, two_m, eligible, eps):
+def _wants(sym, comm, k, two_m, eps):
+    """(id, own, best, gain): the move that every node would make alone; ``best`` is null where it stays."""
     tot = comm.join(k, "id").groupBy("community").agg(F.sum("k").alias("tot"))
     moves = _best_moves(sym, comm, k, tot, two_m)
     own_k = comm.select("id", F.col("community").alias("own")).join(k, "id")
-    stay0 = _stay_default(own_k, tot, two_m)
-    j = stay0.join(moves, "id", "left").withColumn("stay", F.coalesce("stay_gain", "stay0"))
-    move = F.col("best").isNotNull() & (F.col("best_gain") > F.col("stay") + F.lit(eps))
-    if eligible is not None:
-        move = move & eligible
-    return j.select("id", F.when(move, F.col("best")).otherwise(F.col("own")).alias("community"))
+    j = _stay_default(own_k, tot, two_m).join(moves, "id", "left")
+    j = j.withColumn("gain", F.col("best_gain") - F.coalesce("stay_gain", "stay0"))
+    return j.select("id", "own", F.when(F.col("gain") > F.lit(eps), F.col("best")).alias("best"), "gain")
+
+
+def _moved(wants, eligible=None) -> DataFrame:
+    move = F.col("best").isNotNull() if eligible is None else F.col("best").isNotNull() & eligible
+    return wants.select("id", F.when(move, F.col("best")).otherwise(F.col("own")).alias("community"))
+
+
+def _round(sym, comm, k, two_m, eligible, eps):
+    return _moved(_wants(sym, comm, k, two_m, eps), eligible)
 
 
 @dataclass
@@ -158,24 +165,26 @@ class LouvainResult:
     num_communities: int
     levels: int
     rounds: int
+    converged: bool = True  # False only when ``max_levels`` or ``max_rounds`` stopped the run
 
 
 def louvain(
     edges: DataFrame,
-    max_levels: int = 10,
-    max_rounds: int = 60,
+    max_levels: int | None = None,
+    max_rounds: int | None = None,
     seed: int = SEED,
     min_gain: float = 1e-7,
-    max_k: int = 64,
-    max_failures: int = 3,
 ) -> LouvainResult:
     """G1: weighted Louvain on an undirected edge table (src, dst, weight).
 
-    Synchronous moves are restricted each round to the nodes whose salted hash falls in one of
-    K classes (K = 2, doubled after a rejected round up to ``max_k``); a round is kept only when Q
-    rises by more than ``min_gain``. Each level is then contracted into a community graph
-    (self-loops kept) until a level merges nothing. The result is a valid high-Q partition; it is
-    not bit-identical to a sequential implementation.
+    Every round finds the move that each node would make alone and lets the nodes make it whose salted
+    hash falls in one of K classes; the round is kept only when Q rises by more than ``min_gain``. A rejected
+    round doubles K over the same moves; when K exceeds the movers, the single move of the largest gain is
+    tried. A level ends when no node wants to move or that move is rejected, so no single move is left that
+    raises Q by more than ``min_gain``. Each level is then contracted into a community graph (self-loops kept)
+    until a level merges nothing. ``max_levels`` and ``max_rounds`` (of a level) are unbounded by default;
+    ``converged`` says whether they cut the run. The result is a valid high-Q partition; it is not
+    bit-identical to a sequential implementation.
     """
     spark = edges.sparkSession
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -197,25 +206,40 @@ def louvain(
     assign = vid.select(F.col("vid").alias("v"), F.col("vid").alias("node"))
     q = None
     levels = rounds = 0
-    while levels < max_levels and two_m > 0:
+    converged = True
+    while two_m > 0:
+        if max_levels is not None and levels >= max_levels:
+            converged = False
+            break
         sym = cut_lineage(symmetrize(level_edges.filter(F.col("src") != F.col("dst"))))
         k = cut_lineage(_degrees(level_edges))
         comm = k.select("id", F.col("id").alias("community"))
         q = modularity_value(level_edges, comm, m) if q is None else q
         n_level = k.count()
-        kk, failures, r = 2, 0, 0
-        while r < max_rounds and failures < max_failures:
-            salt = F.xxhash64(F.col("id"), F.lit(seed), F.lit(levels), F.lit(r))
-            eligible = F.pmod(salt, F.lit(kk)) == 0
-            cand = cut_lineage(_round(sym, comm, k, two_m, eligible, 1e-12))
+        wants = cut_lineage(_wants(sym, comm, k, two_m, 1e-12))
+        kk, r = 2, 0
+        while movers := wants.filter(F.col("best").isNotNull()).count():
+            if max_rounds is not None and r >= max_rounds:
+                converged = False
+                break
+            alone = kk > movers
+            if alone:
+                top = wants.filter(F.col("best").isNotNull()).orderBy(F.col("gain").desc(), "id").first()
+                eligible = F.col("id") == F.lit(top["id"])
+            else:
+                eligible = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(levels), F.lit(r)), F.lit(kk)) == 0
+            cand = _moved(wants, eligible)
             r += 1
             rounds += 1
             q_new = modularity_value(level_edges, cand, m)
-            log.info("louvain level %d round %d K=%d Q %.6f -> %.6f", levels, r, kk, q, q_new)
+            log.info("louvain level %d round %d K=%d movers=%d Q %.6f -> %.6f", levels, r, kk, movers, q, q_new)
             if q_new > q + min_gain:
-                comm, q, kk, failures = cand, q_new, 2, 0
+                comm, q, kk = cand, q_new, max(2, kk // 2)
+                wants = cut_lineage(_wants(sym, comm, k, two_m, 1e-12))
+            elif alone:
+                break
             else:
-                kk, failures = min(kk * 2, max_k), failures + 1
+                kk *= 2
         n_comm = comm.select("community").distinct().count()
         levels += 1
         assign = cut_lineage(
@@ -234,7 +258,7 @@ def louvain(
     result = assign.join(vid.withColumnRenamed("vid", "v"), "v").select("id", F.col("node").alias("community"))
     result = cut_lineage(result)
     n_comm = result.select("community").distinct().count()
-    return LouvainResult(result, float(q or 0.0), int(n_comm), levels, rounds)
+    return LouvainResult(result, float(q or 0.0), int(n_comm), levels, rounds, converged)
 
 
 # ---------------------------------------------------------------- G3 / J10 / P15

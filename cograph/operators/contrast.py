@@ -97,18 +97,24 @@ def format_shift(shifts: DataFrame, labels: DataFrame | None = None, topic: str
     )
 
 
-def pairwise_cosine(deltas: DataFrame, topic: str = "topic", order: str = "ord", vec: str = "delta") -> DataFrame:
+def pairwise_cosine(deltas: DataFrame, topic: str = "topic", order: str = "ord", vec: str = "delta", blocks: int = 16, min_cosine: float | None = None) -> DataFrame:
     """Cosine of every unordered topic pair (topic1 before topic2 in ``order``); zero vector -> NULL.
 
-    Quadratic by definition: use it on a bounded topic table (the number of topics is checked by the
-    caller); norms are computed once per topic before the pairing.
+    The topics are cut into ``blocks`` hash blocks and joined tile by tile, an equi-join over
+    blocks * (blocks + 1) / 2 tiles: take more blocks for more topics. The output is quadratic by definition
+    unless ``min_cosine`` keeps only the pairs that reach it.
     """
-    t = deltas.select(topic, order, vec, norm(F.col(vec)).alias("nrm"))
-    a = t.select(F.col(topic).alias("topic1"), F.col(order).alias("o1"), F.col(vec).alias("v1"), F.col("nrm").alias("n1"))
-    b = t.select(F.col(topic).alias("topic2"), F.col(order).alias("o2"), F.col(vec).alias("v2"), F.col("nrm").alias("n2"))
-    j = a.join(b, F.col("o1") < F.col("o2"))
+    t = deltas.select(topic, order, vec, norm(F.col(vec)).alias("nrm"), F.pmod(F.xxhash64(order), F.lit(blocks)).alias("blk"))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("blk", o).alias("lo"), F.greatest("blk", o).alias("hi")))
+    t = t.withColumn("tile", F.explode(tiles))
+    side = lambda i: t.select(
+        F.col(topic).alias(f"topic{i}"), F.col(order).alias(f"o{i}"), F.col(vec).alias(f"v{i}"), F.col("nrm").alias(f"n{i}"), F.col("blk").alias(f"b{i}"), F.col("tile.lo").alias("lo"), F.col("tile.hi").alias("hi")
+    )
+    # two topics of one block meet in its diagonal tile alone
+    j = side(1).join(side(2), ["lo", "hi"]).filter((F.col("o1") < F.col("o2")) & ((F.col("lo") == F.col("hi")) | (F.col("b1") != F.col("b2"))))
     cos = F.when((F.col("n1") == 0) | (F.col("n2") == 0), F.lit(None).cast("double")).otherwise(dot(F.col("v1"), F.col("v2")) / (F.col("n1") * F.col("n2")))
-    return j.select("topic1", "topic2", cos.alias("cosine_similarity"))
+    out = j.select("topic1", "topic2", cos.alias("cosine_similarity"))
+    return out if min_cosine is None else out.filter(F.col("cosine_similarity") >= F.lit(float(min_cosine)))
 
 
 def square_similarity(cos_pairs: DataFrame, topics: Sequence[str]) -> DataFrame:

@@ -1,14 +1,15 @@
 """Dictionary (sparse-autoencoder style) features: P5, P6, J7, W7, W8, W10, J4, J5.
 
 The dictionary is a table ``(feature int, w_enc array<double>, b_enc double, w_dec array<double>)``
-plus one ``b_dec`` vector. It is model parameters: its size is checked, it is broadcast once,
-and the big side (vectors, vocabulary) stays partitioned. Products run as Arrow-batched numpy
-matmuls in ``mapInPandas`` — never a join of every row with every feature.
+plus one ``b_dec`` vector. It is model parameters: up to a checked size it is broadcast once and the big
+side (vectors, vocabulary) stays partitioned; a larger one stays a table, and its feature blocks meet
+slices of the big side in a cogroup. Products run as numpy matmuls on tiles of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,9 @@ from .graph import symmetrize
 from .topk import top_k_per_group
 
 ACTIVATION_THRESHOLD = 1.0  # fixed value: the reference's activation threshold (strict >)
-MAX_DICTIONARY_CELLS = 64_000_000  # features x dimension allowed in one broadcast (~512 MB of doubles)
+BROADCAST_CELLS = 8_000_000  # features x dimension up to which the dictionary is broadcast (64 MB of doubles a matrix)
+BLOCK_CELLS = 4_000_000  # features x dimension of one block of a larger dictionary, and of one slice of vectors
+TILE_CELLS = 2_000_000  # rows x features of one product
 ISOLATED = "ISOLATED"  # fixed value: label of a probe feature without graph neighbours
 
 
@@ -42,26 +45,83 @@ class Dictionary:
         return int(self.w_enc.shape[1]) if self.w_enc.size else int(self.b_dec.shape[0])
 
     @classmethod
-    def from_table(cls, table: DataFrame, b_dec=None, max_cells: int = MAX_DICTIONARY_CELLS) -> "Dictionary":
-        """S8 read side: load the (checked-size) table to the driver as model parameters."""
-        stats = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w_enc")).alias("d"), F.min(F.size("w_enc")).alias("d0")).first()
-        n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-        if n and stats["d0"] != d:
-            raise ValueError("dictionary rows have different dimensions")
-        if n * max(d, 1) > max_cells:
-            raise ValueError(f"dictionary of {n}x{d} exceeds the broadcast bound {max_cells}")
+    def from_table(cls, table: DataFrame, b_dec=None) -> "Dictionary":
+        """A dictionary of few cells as driver-side parameters (see ``load_dictionary``)."""
         pdf = table.select("feature", "w_enc", "b_enc", "w_dec").orderBy("feature").toPandas()
-        w_enc = np.stack(pdf["w_enc"].map(np.asarray).to_list()) if n else np.zeros((0, d))
-        w_dec = np.stack(pdf["w_dec"].map(np.asarray).to_list()) if n else np.zeros((0, d))
-        bd = np.zeros(d) if b_dec is None else np.asarray(b_dec, dtype=np.float64)
-        if bd.shape[0] != d:
-            raise ValueError(f"b_dec has {bd.shape[0]} dims, dictionary has {d}")
-        return cls(pdf["feature"].to_numpy(), w_enc, pdf["b_enc"].to_numpy(dtype=np.float64), w_dec, bd)
+        d = len(pdf["w_enc"].iloc[0]) if len(pdf) else 0
+        w_enc = np.stack(pdf["w_enc"].map(np.asarray).to_list()) if len(pdf) else np.zeros((0, d))
+        w_dec = np.stack(pdf["w_dec"].map(np.asarray).to_list()) if len(pdf) else np.zeros((0, d))
+        return cls(pdf["feature"].to_numpy(), w_enc, pdf["b_enc"].to_numpy(dtype=np.float64), w_dec, np.zeros(d) if b_dec is None else b_dec)
+
+
+@dataclass(frozen=True)
+class DictionaryTable:
+    """A dictionary that stays a table because it is too large to broadcast."""
+
+    table: DataFrame
+    n_features: int
+    dim: int
+    b_dec: np.ndarray
+
+
+def load_dictionary(table: DataFrame, b_dec=None, broadcast_cells: int = BROADCAST_CELLS) -> Dictionary | DictionaryTable:
+    """S8 read side: broadcastable parameters up to ``broadcast_cells``, the table itself beyond; any size works."""
+    stats = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w_enc")).alias("d"), F.min(F.size("w_enc")).alias("d0")).first()
+    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
+    if n and stats["d0"] != d:
+        raise ValueError("dictionary rows have different dimensions")
+    bd = np.zeros(d) if b_dec is None else np.asarray(b_dec, dtype=np.float64)
+    if bd.shape[0] != d:
+        raise ValueError(f"b_dec has {bd.shape[0]} dims, dictionary has {d}")
+    return Dictionary.from_table(table, bd) if n * max(d, 1) <= broadcast_cells else DictionaryTable(table, n, d, bd)
+
+
+def _matrix(col: pd.Series, d: int) -> np.ndarray:
+    x = np.stack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+    if x.shape[1] != d:
+        raise ValueError(f"vector dimension {x.shape[1]} != dictionary dimension {d}")
+    return x
+
+
+def _against_dictionary(rows: DataFrame, vector: str, dictionary: Dictionary | DictionaryTable, weights: list[str], product: Callable, schema: str) -> DataFrame:
+    """``product(rows, features, *weights)`` (a generator of frames) for all rows with all features.
+
+    A broadcast dictionary meets the rows where they are. Of a larger one every feature block is grouped with
+    every slice of the rows; both have a bounded number of cells, so no task holds more than one of each.
+    """
+    spark = rows.sparkSession
+    if isinstance(dictionary, Dictionary):
+        bc = spark.sparkContext.broadcast((dictionary.features, *[getattr(dictionary, w) for w in weights]))
+
+        def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf) and len(bc.value[0]):
+                    yield from product(pdf, *bc.value)
+
+        return rows.mapInPandas(here, schema)
+    d = max(dictionary.dim, 1)
+    blocks = -(-dictionary.n_features * d // BLOCK_CELLS)
+    slices = max(1, -(-rows.count() * d // BLOCK_CELLS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int")).withColumn("_block", every(blocks))
+    right = dictionary.table.select("feature", *weights).withColumn("_block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")).withColumn("_slice", every(slices))
+    names = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
+
+    def meet(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(block):
+            return pd.DataFrame(columns=names)
+        block = block.sort_values("feature")
+        w = [_matrix(block[c], dictionary_dim) if c.startswith("w_") else block[c].to_numpy(dtype=np.float64) for c in weights]
+        parts = list(product(pdf, block["feature"].to_numpy(np.int64), *w))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+
+    dictionary_dim = dictionary.dim
+    return left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(meet, schema)
 
 
 def encode_features(
     vectors: DataFrame,
-    dictionary: Dictionary,
+    dictionary: Dictionary | DictionaryTable,
     key: str | list[str] = "ctx",
     vector: str = "vector",
     threshold: float | None = 0.0,
@@ -71,34 +131,20 @@ def encode_features(
     Only activations strictly above ``threshold`` are emitted (0.0: the non-zero relu outputs;
     None: every feature, zeros included). Dimension mismatch raises.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    spark = vectors.sparkSession
-    bc = spark.sparkContext.broadcast((dictionary.features, dictionary.w_enc, dictionary.b_enc, dictionary.b_dec))
-    d = dictionary.dim
-    key_fields = [f for f in vectors.select(*keys).schema.fields]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{key_ddl}, feature int, act double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feats, w_enc, b_enc, b_dec = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vector].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-            if x.shape[1] != d:
-                raise ValueError(f"vector dimension {x.shape[1]} != dictionary dimension {d}")
-            acts = np.maximum((x - b_dec) @ w_enc.T + b_enc, 0.0)
-            if threshold is None:
-                rows, cols = np.indices(acts.shape)
-                rows, cols = rows.ravel(), cols.ravel()
-            else:
-                rows, cols = np.nonzero(acts > threshold)
-            out = {k: pdf[k].to_numpy()[rows] for k in keys}
-            out["feature"] = feats[cols].astype(np.int32)
-            out["act"] = acts[rows, cols]
-            yield pd.DataFrame(out)
-
-    return vectors.select(*keys, vector).mapInPandas(run, schema)
+    keys = _keys(key)
+    d, b_dec = dictionary.dim, dictionary.b_dec
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields)
+
+    def product(pdf: pd.DataFrame, feats, w_enc, b_enc) -> Iterator[pd.DataFrame]:
+        step = max(1, TILE_CELLS // len(feats))
+        for a in range(0, len(pdf), step):
+            part = pdf.iloc[a : a + step]
+            acts = np.maximum((_matrix(part[vector], d) - b_dec) @ w_enc.T + b_enc, 0.0)
+            rows, cols = np.nonzero(np.ones_like(acts, bool) if threshold is None else acts > threshold)
+            out = {k: part[k].to_numpy()[rows] for k in keys}
+            yield pd.DataFrame(out | {"feature": feats[cols].astype(np.int32), "act": acts[rows, cols]})
+
+    return _against_dictionary(vectors.select(*keys, vector), vector, dictionary, ["w_enc", "b_enc"], product, f"{key_ddl}, feature int, act double")
 
 
 def active_features(
@@ -115,7 +161,7 @@ def active_features(
 
 
 def label_features(
-    dictionary: Dictionary,
+    dictionary: Dictionary | DictionaryTable,
     unembed: DataFrame,
     k: int = 5,
     token: str = "token",
@@ -123,28 +169,23 @@ def label_features(
 ) -> DataFrame:
     """Per feature, the k tokens with the largest logit W_dec[f] . W_U[token].
 
-    The vocabulary stays partitioned; the dictionary decoder is broadcast. Each batch keeps only its
-    own top-k per feature, then a ``WindowGroupLimit`` top-k merges them.
+    The vocabulary stays partitioned. Each batch keeps only its own top-k per feature, then a
+    ``WindowGroupLimit`` top-k merges them.
     """
-    spark = unembed.sparkSession
-    bc = spark.sparkContext.broadcast((dictionary.features, dictionary.w_dec))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feats, w_dec = bc.value
-        for pdf in batches:
-            if pdf.empty or len(feats) == 0:
-                continue
-            u = np.stack(pdf[vector].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-            logits = w_dec @ u.T  # (F, batch)
-            toks = pdf[token].to_numpy()
-            kk = min(k, logits.shape[1])
+    d = dictionary.dim
+
+    def product(pdf: pd.DataFrame, feats, w_dec) -> Iterator[pd.DataFrame]:
+        u, toks = _matrix(pdf[vector], d), pdf[token].to_numpy()
+        kk, step = min(k, len(u)), max(1, TILE_CELLS // len(u))
+        for a in range(0, len(feats), step):
+            logits = w_dec[a : a + step] @ u.T
             # candidates: per feature every token at or above the batch's kk-th best logit
             # (ties kept, so the final token-ascending tie-break stays exact)
             kth = -np.partition(-logits, kk - 1, axis=1)[:, kk - 1 : kk]
             rows, cols = np.nonzero(logits >= kth)
-            yield pd.DataFrame({"feature": feats[rows].astype(np.int32), "token": toks[cols], "logit": logits[rows, cols]})
+            yield pd.DataFrame({"feature": feats[a + rows].astype(np.int32), "token": toks[cols], "logit": logits[rows, cols]})
 
-    cands = unembed.select(token, vector).mapInPandas(run, "feature int, token string, logit double")
+    cands = _against_dictionary(unembed.select(token, vector), vector, dictionary, ["w_dec"], product, "feature int, token string, logit double")
     return top_k_per_group(cands, "feature", "logit", k, tie="token")
 
 

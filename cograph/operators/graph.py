@@ -8,8 +8,8 @@ Plan at scale
 * frequency n_i: explode + partial/final hash aggregate (hot features are combined map-side);
 * lossless prefilters before any pair is formed: n_i >= min_cooc (since n_ij <= min(n_i, n_j))
   and n_i < N (zero denominator, never an edge);
-* the kept-feature table joins the exploded contexts as a broadcast only after counting it;
-  otherwise a shuffle join, which AQE splits when one feature is hot;
+* the kept-feature table is a written one, so Spark knows its bytes and broadcasts it only under
+  ``spark.sql.autoBroadcastJoinThreshold``; else a shuffle join, which AQE splits when one feature is hot;
 * pairs are formed inside each context from its sorted feature array (``posexplode`` +
   ``slice``), so only the upper triangle i < j is produced, and a phi upper bound computed
   from (n_i, n_j) drops hopeless pairs *before* the pair shuffle;
@@ -23,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
-
 # Defaults of the reference configuration (fixed values).
 MIN_COOCCURRENCE = 5
 PHI_THRESHOLD = 0.05
@@ -98,8 +96,7 @@ def _feature_ids(kept: DataFrame) -> DataFrame:
 
 def _pairs(contexts, ids, ctx, features, n_contexts, phi_threshold, min_count) -> DataFrame:
     """(fi, fj, n_ij) over int ids; ``ids`` is (feature, frequency, fid)."""
-    id_side, _ = bounded_broadcast(ids.select("feature", "fid", "frequency"))
-    lf = long_form(contexts, ctx, features).join(id_side, "feature")
+    lf = long_form(contexts, ctx, features).join(ids.select("feature", "fid", "frequency"), "feature")
     per_ctx = lf.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("fid", "frequency"))).alias("fs"))
     per_ctx = per_ctx.filter(F.size("fs") >= 2)
     left = per_ctx.select("fs", F.posexplode("fs").alias("p", "a"))
@@ -118,9 +115,8 @@ def _pairs(contexts, ids, ctx, features, n_contexts, phi_threshold, min_count) -
 
 def _decode(counted: DataFrame, ids: DataFrame) -> DataFrame:
     """Map int pair ids back to features, carrying both frequencies: (i, j, n_ij, n_i, n_j)."""
-    side, _ = bounded_broadcast(ids.select("fid", "feature", "frequency"))
-    a = side.select(F.col("fid").alias("fi"), F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
-    b = side.select(F.col("fid").alias("fj"), F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
+    a = ids.select(F.col("fid").alias("fi"), F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
+    b = ids.select(F.col("fid").alias("fj"), F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
     return counted.join(a, "fi").join(b, "fj").select("i", "j", "n_ij", "n_i", "n_j")
 
 
@@ -132,9 +128,8 @@ def phi_edges(
     phi_threshold: float = PHI_THRESHOLD,
 ) -> DataFrame:
     """Weight pairs by phi; keep n_ij >= min_cooc, non-zero denominator, phi > threshold (strict)."""
-    freq_side, _ = bounded_broadcast(frequency.select("feature", "frequency"))
-    fi = freq_side.select(F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
-    fj = freq_side.select(F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
+    fi = frequency.select(F.col("feature").alias("i"), F.col("frequency").alias("n_i"))
+    fj = frequency.select(F.col("feature").alias("j"), F.col("frequency").alias("n_j"))
     p = pairs.filter(F.col("n_ij") >= min_cooccurrence).join(fi, "i").join(fj, "j")
     return _weigh(p, n_contexts, phi_threshold)
 

@@ -10,9 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows above which a "small" side is no longer broadcast (checked by counting it first).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "cograph") -> SparkSession:
     builder = (
@@ -61,14 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cograph-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
-    """Return ``(df_or_broadcast_hint, n_rows)``: broadcast only after counting the side.
-
-    Beyond ``max_rows`` the plain DataFrame is returned so Catalyst/AQE pick a shuffle join.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dictionary import Dictionary
+from ..operators.dictionary import Dictionary, DictionaryTable, load_dictionary
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -77,13 +77,13 @@ def read_graph(spark: SparkSession, root: str, graph: str) -> tuple[DataFrame, D
     return edges.withColumn("weight", F.col("weight").cast("double")), nodes  # P10
 
 
-def read_dictionary(spark: SparkSession, path: str, b_dec_path: str | None = None, expected_dim: int | None = None) -> Dictionary:
+def read_dictionary(spark: SparkSession, path: str, b_dec_path: str | None = None, expected_dim: int | None = None) -> Dictionary | DictionaryTable:
     """Dictionary weights (one row per feature) + optional b_dec; dimensions checked."""
     table = spark.read.parquet(path)
     b_dec = None
     if b_dec_path:
         b_dec = spark.read.parquet(b_dec_path).select("b_dec").first()[0]
-    d = Dictionary.from_table(table, b_dec)
+    d = load_dictionary(table, b_dec)
     if expected_dim is not None and d.dim != expected_dim:
         raise ValueError(f"dictionary dimension {d.dim} != model dimension {expected_dim}")
     return d

@@ -1,9 +1,10 @@
 """Hand-made rows for cases that the table queries do not reach."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cograph.operators import classify, corpus, dictionary
+from cograph.operators import classify, community, contrast, corpus, dictionary
 from cograph.sources import io
 
 
@@ -39,3 +40,49 @@ def test_tables_by_suffix(spark, tmp_path):
     (tmp_path / "t.txt").write_text("x")
     with pytest.raises(ValueError):
         io.read_table(spark, str(tmp_path / "t.txt"))
+
+
+def test_large_dictionary_runs_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=(7, 3))
+    table = spark.createDataFrame([(i, w[i].tolist(), 0.1 * i, (-w[i]).tolist()) for i in range(7)], "feature int, w_enc array<double>, b_enc double, w_dec array<double>")
+    x = spark.createDataFrame([(i, f"t{i}", rng.normal(size=3).tolist()) for i in range(11)], "ctx bigint, token string, vector array<double>")
+    whole, blocked = dictionary.load_dictionary(table, [0.1, 0.2, 0.3]), dictionary.load_dictionary(table, [0.1, 0.2, 0.3], broadcast_cells=4)
+    assert isinstance(whole, dictionary.Dictionary) and isinstance(blocked, dictionary.DictionaryTable)
+    monkeypatch.setattr(dictionary, "BLOCK_CELLS", 6)
+    monkeypatch.setattr(dictionary, "TILE_CELLS", 5)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for threshold in (0.0, None):
+        a, b = (rows(dictionary.encode_features(x, dic, "ctx", "vector", threshold)) for dic in (whole, blocked))
+        assert a == b and (threshold == 0.0 or len(a) == 77)
+    a, b = (rows(dictionary.label_features(dic, x, 2, "token", "vector")) for dic in (whole, blocked))
+    assert a == b and len(a) == 14
+
+
+def test_pairwise_cosine_in_tiles(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(30, 4))
+    v[3] = 0
+    t = spark.createDataFrame([(f"t{i}", i, v[i].tolist()) for i in range(30)], "topic string, ord int, delta array<double>")
+    for blocks in (1, 4):
+        got = {(r.topic1, r.topic2): r.cosine_similarity for r in contrast.pairwise_cosine(t, blocks=blocks).collect()}
+        assert len(got) == 30 * 29 // 2
+        assert got["t0", "t3"] is None and got["t3", "t4"] is None
+        assert abs(got["t0", "t9"] - v[0] @ v[9] / np.linalg.norm(v[0]) / np.linalg.norm(v[9])) < 1e-12
+    assert all(r.cosine_similarity >= 0.5 for r in contrast.pairwise_cosine(t, min_cosine=0.5).collect())
+
+
+def test_cubic_svm_uses_all_dimensions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(x[9] > 0), x.tolist()) for x in rng.normal(size=(200, 10)) + 0.0]
+    df = spark.createDataFrame(rows, "label int, z array<double>")
+    train, _ = classify.svm_poly(df, df)
+    assert classify.accuracy(train).first()[0] > 0.8
+
+
+def test_louvain_on_cliques_converges(spark):
+    edges = [(b + i, b + j, 1.0) for b in (0, 10, 20) for i in range(5) for j in range(i + 1, 5)]
+    e = spark.createDataFrame(edges, "src int, dst int, weight double")
+    res = community.louvain(e)
+    assert res.converged and res.num_communities == 3
+    assert not community.louvain(e, max_levels=0).converged
