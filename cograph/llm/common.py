@@ -15,7 +15,7 @@ from ..session import cut_lineage
 #: Rows up to which a counted side may be broadcast (a row here is a few numbers: tens of MB).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

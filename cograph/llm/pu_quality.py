@@ -31,6 +31,7 @@ for _k, (_, _bytes) in enumerate(_CLASSES):
     for _b in _bytes:
         _CLASS_OF[_b] = _k
 N_FEATURES = 2 * len(_CLASSES) + 9
+_SPAN = 1 << 18  # bytes whose classes are counted at once
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -41,8 +42,13 @@ def features(texts: pa.Array) -> np.ndarray:
     for first, data, bounds in chunks(texts):
         hashes, start, end, at = words(data, bounds)
         n_texts, sizes = len(bounds) - 1, np.diff(bounds)
-        text_of = np.repeat(np.arange(n_texts), sizes)
-        share = np.bincount(text_of * c + _CLASS_OF[data], minlength=n_texts * c).reshape(n_texts, c) / np.maximum(sizes, 1)[:, None]
+        share = np.zeros((n_texts, c))
+        for a in range(0, len(data), _SPAN):  # the wide index arrays of a long text are made a span at a time
+            part = data[a : a + _SPAN]
+            i, j = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, a + len(part), "left")
+            text_of = np.repeat(np.arange(j - i), np.diff(np.clip(bounds[i : j + 1], a, a + len(part))))
+            share[i:j] += np.bincount(text_of * c + _CLASS_OF[part], minlength=(j - i) * c).reshape(j - i, c)
+        share /= np.maximum(sizes, 1)[:, None]
         n_words = np.diff(at)
         word_of = np.repeat(np.arange(n_texts), n_words)
         per = lambda flags: np.bincount(word_of, flags, minlength=n_texts) / np.maximum(n_words, 1)

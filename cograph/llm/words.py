@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 20  # bytes hashed at once
+_SPAN = 1 << 18  # bytes hashed at once
 _POWERS: list[np.ndarray] = []
 
 
@@ -33,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def chunks(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of first text, bytes, text bounds in them) for runs of texts of about ``size`` bytes; null is empty."""
     texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type)
