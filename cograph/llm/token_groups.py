@@ -28,26 +28,31 @@ KEYS = 4  # min-hashes by which groups are formed; any number gives the same lin
 _SALTS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) & (2**64 - 1)) for k in range(KEYS)]
 
 
-def _frequent(width: int, least: int):
-    """Shingles that ``least`` or more texts of one batch have, with that number."""
+def _frequent(width: int, least: int, run: int = 2_000_000):
+    """Shingles that ``least`` or more texts of a run of about ``run`` shingles of one task have, with that number."""
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        kept = n >= least
+        return pa.record_batch([pa.array(keys[kept].view(np.int64)), pa.array(n[kept])], names=["token", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = 0
         for batch in batches:
-            held: list[np.ndarray] = []
-            rows = 0
-            for i, tokens in shingle_sets(batch.column(0), width):
+            for _, tokens in shingle_sets(batch.column(0), width):
                 held.append(tokens)
                 rows += len(tokens)
-                if rows >= 2_000_000 or i == len(batch) - 1:
-                    keys, n = np.unique(np.concatenate(held), return_counts=True)
-                    often = n >= least
-                    yield pa.record_batch([pa.array(keys[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+                if rows >= run:
+                    yield often(held)
                     held, rows = [], 0
+        if held:
+            yield often(held)
 
     return count
 
 
-def frequent_tokens(texts: DataFrame, width: int, least: int = 3, bound: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(texts: DataFrame, width: int, least: int = 2, bound: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and their counts over all texts, the ``bound`` most frequent at most.
 
     They only set the order in which tokens are tried; any order gives the same links.
