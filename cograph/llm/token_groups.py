@@ -2,7 +2,7 @@
 
 Texts become sets of distinct five-word shingles (64-bit hashes). Equal sets are one class, of which the
 smallest id goes on. The classes are partitioned into groups of similar texts: rows that share a min-hash
-are compared with the smallest of them, and linked rows form a group. The matrix holds, for every
+are compared with the smallest and the largest of them, and linked rows form a group. The matrix holds, for every
 token, the groups in whose union it lies; unions are taken over the members' prefixes, which is enough:
 with all tokens in one order (rare before frequent, then by hash) two sets of Jaccard similarity t share a
 token among the first n - ceil(t n) + 1 of each. So a token of one group alone opens nothing; a token in
@@ -160,11 +160,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = small(pairs).join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return cut_lineage(both.where(reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
 
-    # groups: a star around the smallest row that shares a min-hash
+    # groups: stars around the smallest and the largest row that share a min-hash
     repeated = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     keyed = cut_lineage(reps.select("id", F.posexplode("keys").alias("k", "key")))
-    root = keyed.groupBy("k", "key").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").drop("last")
-    star = keyed.join(root, ["k", "key"]).where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    roots = keyed.groupBy("k", "key").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last")
+    spokes = keyed.join(roots, ["k", "key"]).select("id", F.explode(F.array("root", "last")).alias("root")).where("id <> root")
+    star = spokes.select(F.least("root", "id").alias("a"), F.greatest("root", "id").alias("b")).distinct()
     links = cut_lineage(repeated.unionByName(_linked(texts, screened(star), width, percent)))
     group = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
     grouped = cut_lineage(first.join(group, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp")))
