@@ -67,10 +67,10 @@ def frequent_tokens(texts: DataFrame, width: int, least: int = 2, bound: int = 1
                 break
             floor = row["n"]
         counted = counted.where(F.lit(False) if floor is None else F.col("n") >= floor)
-    got = counted.toPandas()
-    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
+    got = counted.toArrow()  # two columns, not a Python object per row
+    tokens = got["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], got["n"].to_numpy(np.int64)[order]
+    return tokens[order], got["n"].to_numpy().astype(np.int64)[order]
 
 
 def prefix_length(n: int, percent: int) -> int:
