@@ -3,7 +3,9 @@
 Texts become sets of distinct five-word shingles (64-bit hashes). Equal sets are one class, of which the
 smallest id goes on. The classes are partitioned into groups of similar texts: rows that share a min-hash
 are compared with the smallest and the largest of them, and linked rows form a group. The matrix holds, for every
-token, the groups in whose union it lies; unions are taken over the members' prefixes, which is enough:
+token, the groups in whose union it lies. In a few rounds one row of each group of a token is compared with one row
+of the group that holds it most often, and linked groups merge, so that a family of copies is not opened pair by pair.
+Unions are taken over the members' prefixes, which is enough:
 with all tokens in one order (rare before frequent, then by hash) two sets of Jaccard similarity t share a
 token among the first n - ceil(t n) + 1 of each. So a token of one group alone opens nothing; a token in
 several groups opens those whose bounds allow it: a query of n shingles whose first match is at position p
@@ -25,6 +27,8 @@ from .common import components, ship, small
 from .words import mix, shingle_sets
 
 KEYS = 4  # min-hashes by which groups are formed; any number gives the same links
+ROUNDS = 2  # rounds that merge groups over the matrix before pairs are opened; any number gives the same links
+ORDERS = 8  # orders of a group's rows; a token takes the group's first row in one of them
 _SALTS = [np.uint64(0x5851F42D4C957F2D * (2 * k + 1) & (2**64 - 1)) for k in range(KEYS)]
 
 
@@ -170,11 +174,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
     grouped = cut_lineage(first.join(group, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp")))
 
-    # token-group matrix over prefixes, one shuffle by token; only tokens in several groups open pairs
-    rows = marked.select("id", "n", "prefix").join(small(grouped), ["id", "n"]).select("id", "n", "grp", F.posexplode("prefix").alias("p", "token"))
-    holders = Window.partitionBy("token")
-    opened = rows.withColumn("g1", F.min("grp").over(holders)).withColumn("g2", F.max("grp").over(holders)).where("g1 < g2")
-    opened = cut_lineage(opened.select("token", "id", "n", "grp", "p"))
+    # token-group matrix over prefixes, one shuffle of all rows by token; only tokens in several groups go on
+    def shared(rows: DataFrame) -> DataFrame:
+        holders = Window.partitionBy("token")
+        wide = rows.withColumn("g1", F.min("grp").over(holders)).withColumn("g2", F.max("grp").over(holders)).where("g1 < g2")
+        return cut_lineage(wide.select("token", "id", "n", "grp", "p"))
+
+    opened = shared(marked.select("id", "n", "prefix").join(small(grouped), ["id", "n"]).select("id", "n", "grp", F.posexplode("prefix").alias("p", "token")))
+    for turn in range(ROUNDS):
+        some = F.min_by("id", F.xxhash64("id", F.lit(turn), F.pmod("token", F.lit(ORDERS))))
+        heads = cut_lineage(opened.groupBy("token", "grp").agg(some.alias("id"), F.count("*").alias("held")))
+        roots = heads.groupBy("token").agg(F.max_by("id", F.struct("held", "grp")).alias("root"))
+        met = heads.join(roots, "token").where("id <> root")
+        met = met.select(F.least("root", "id").alias("a"), F.greatest("root", "id").alias("b")).distinct()
+        links = cut_lineage(links.unionByName(_linked(texts, screened(met), width, percent)))
+        group = cut_lineage(components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "g"))
+        opened = shared(opened.join(small(group), "id", "left").withColumn("grp", F.coalesce("g", "id")))
+
+    # the pairs of rows of different groups that are left
     x, y = opened.select(*[F.col(c).alias(f"{c}_x") for c in opened.columns]), opened.select(*[F.col(c).alias(f"{c}_y") for c in opened.columns])
     most = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
     pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("grp_x") != F.col("grp_y"))
