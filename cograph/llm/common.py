@@ -48,15 +48,20 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(0).cast("long"))
 
 
-def before(df: DataFrame, keys: list[str], order: list[Column], out: str, size: Column | None = None, shards: int = 1024, total: str | None = None) -> DataFrame:
+def before(df: DataFrame, keys: list[str], order: list[Column], out: str, size: Column | None = None, shards: int = 1024, total: str | None = None, ordered: bool = False) -> DataFrame:
     """Sum of ``size`` (default 1) over the rows of the same key that come before each row.
 
-    Order within a key: a hash shard of ``order``, then ``order``. No key is summed in one task: each
+    Order within a key: a hash shard of ``order``, then ``order``; if ``ordered``, ``order`` itself, over ranges of it
+    (``order`` should then tell rows apart). No key is summed in one task: each
     (key, shard) is summed alone and starts from the sum of the key's earlier shards, of which there
-    are at most ``shards`` rows a key. ``keys`` must not be null. ``total``: name of a column with the
+    are at most ``shards`` (ranges: shuffle partitions) rows a key. ``keys`` must not be null. ``total``: name of a column with the
     key's whole sum.
     """
-    d = df.withColumn("__shard", F.pmod(F.xxhash64(*order), F.lit(shards))).withColumn("__size", F.lit(1).cast("long") if size is None else size.cast("long"))
+    if ordered:  # written once: counts and rows must come from the same ranges
+        d = cut_lineage(df.repartitionByRange(*order).withColumn("__shard", F.spark_partition_id()))
+    else:
+        d = df.withColumn("__shard", F.pmod(F.xxhash64(*order), F.lit(shards)))
+    d = d.withColumn("__size", F.lit(1).cast("long") if size is None else size.cast("long"))
     by_key = Window.partitionBy(*keys)
     starts = (
         d.groupBy(*keys, "__shard")

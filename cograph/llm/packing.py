@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -90,12 +90,14 @@ def token_pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32[, ids], doc_tokens, sequence_id, offset``.
 
     ``tokenizer``: path of a byte-level vocabulary file that every executor can read; ``max_len``: a power
     of two; ``end_id`` ends every document. A piece is a whole sequence (offset 0) of a power of two ids;
-    ``sequence_id`` = rank within its length times the number of lengths, plus the exponent. Null and
+    ``sequence_id`` = rank within its length times the number of lengths, plus the exponent.
+    ``order``: columns of ``docs`` in whose order the sequences of each length are numbered (a document's pieces stay in
+    their order); without them the order is a hash of the pieces. Null and
     empty texts are the single end id; rows that repeat an id are packed one by one; a null id stays null;
     other input columns are not used; an empty table gives an empty result.
     """
@@ -103,10 +105,11 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0,
         raise ValueError("max_len must be a power of two")
     ship(docs.sparkSession)
     split = token_pieces(tokenizer, max_len, end_id, with_ids)
-    d = docs.select(F.col(id_col).alias("doc_id"), split(F.col(text_col)).alias("p"))
-    d = d.select("doc_id", F.explode("p").alias("p"), F.expr("element_at(p, -1).start + element_at(p, -1).length").alias("doc_tokens"))
-    d = cut_lineage(d.select("doc_id", "p.*", "doc_tokens"))  # tokenise once; also fixes the numbering if a task is run again
-    d = before(d, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "__rank")
+    places = [f"__order{i}" for i in range(len(order or []))]
+    d = docs.select(F.col(id_col).alias("doc_id"), split(F.col(text_col)).alias("p"), *[c.alias(p) for c, p in zip(order or [], places, strict=True)])
+    d = d.select("doc_id", *places, F.explode("p").alias("p"), F.expr("element_at(p, -1).start + element_at(p, -1).length").alias("doc_tokens"))
+    d = cut_lineage(d.select("doc_id", *places, "p.*", "doc_tokens"))  # tokenise once; also fixes the numbering if a task is run again
+    d = before(d, ["length"], [F.col(c) for c in (*places, "doc_id", "start", "ids_crc32")], "__rank", ordered=bool(places))
     kinds = max_len.bit_length()
     exponent = F.round(F.log2(F.col("length").cast("double"))).cast("long")
     return d.withColumn("sequence_id", F.col("__rank") * kinds + exponent).withColumn("offset", F.lit(0).cast("long")).select(

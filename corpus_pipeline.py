@@ -7,6 +7,7 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cograph.llm import exact, mixing, packing, pu_quality, token_groups
 from cograph.llm.common import table
@@ -37,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
-    return packing.pack(docs, TOKENIZER)
+    """Pieces of all documents in sequences, numbered in the mixed order (the rows' order in the files of ``docs``)."""
+    return packing.pack(docs, TOKENIZER, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]

@@ -298,3 +298,29 @@ def test_pipeline_keeps_one_of_each_group(spark):
             assert after == before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).toPandas()
     assert set(packed.doc_id) == set(after) and packed.sequence_id.is_unique
+
+
+def test_pipeline_packs_in_mixed_order(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    order = mixing.mix(docs).select("doc_id", "mix_slot", "mix_offset").toPandas().sort_values(["mix_slot", "mix_offset"])
+    at = {i: n for n, i in enumerate(order.doc_id)}
+    mixed = corpus_pipeline.cut_lineage(corpus_pipeline.mix(spark, docs, d))
+    packed = corpus_pipeline.pack(spark, mixed, d).toPandas().sort_values("sequence_id")
+    assert packed.sequence_id.is_unique and set(packed.doc_id) == set(at)
+    for _, same in packed.groupby("length"):
+        places = list(zip(same.doc_id.map(at), same.start))
+        assert places == sorted(places) and (same.sequence_id // 11).tolist() == list(range(len(same)))
+
+
+def test_sequences_follow_the_target_weights(spark):
+    sizes, weights = {"a": 260, "b": 140, "c": 200}, {"a": 0.6, "b": 0.3, "c": 0.1}
+    rows = [(i, s, "word " * 40) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = mixing.cut_lineage(mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=weights, block=200))
+    packed = packing.pack(docs, TOKENIZER, max_len=32, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")]).toPandas()
+    full = packed[packed.length == 32].sort_values("sequence_id").doc_id.map({r[0]: r[1] for r in rows}).tolist()
+    assert len(full) == len(rows)
+    for n in range(20, 400, 20):  # before a source ends
+        assert all(abs(full[:n].count(s) - w * n) < 2 for s, w in weights.items())
