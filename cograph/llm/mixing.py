@@ -1,15 +1,17 @@
 """Operator 1, mixing sources to target weights by Pfair scheduling, DataFrame functions only.
 
-Every source is cut into blocks of equal size. Its weight, as an integer share of a frame, gives the
-source's fluid rate; block j of a source with share w runs in the fluid schedule from virtual time
-(j-1)/w to j/w. Mapped to slots (one block each), the start rounded down is the block's release and
-the end rounded up its deadline. Within its frame the blocks are taken earliest deadline first among
-the released ones; each block then lies in its window, so no source is ever a whole block ahead of or
-behind its weight. A source that has no blocks left gives its rate to the others in proportion.
-
-At whole frames all fluid amounts are whole blocks, so frames are independent, and all frames between
-two exhaustions are alike: only those few different frames are scheduled (bounded by shares and
-sources), and every document finds its slot by arithmetic. All rows are kept.
+Every source is cut into blocks of equal size. Its weight, an integer of 30 bits, gives the source's
+fluid rate; block j of a source with weight w runs in the fluid schedule from virtual time (j-1)/w to
+j/w. Mapped to slots (one block each), the start rounded down is the block's release and the end
+rounded up its deadline. The blocks are taken earliest deadline first among the released ones; each
+block then lies in its window, so no source is ever a whole block ahead of or behind its weight. A
+source that has no blocks left gives its rate to the others in proportion.
+
+Stretches of slots are scheduled apart. At the start of a stretch every source has run the whole blocks
+of its fluid amount; of the blocks begun there, earliest deadline first leaves out as many late ones as
+it can: those of the latest deadlines of which, for every earlier slot, no more were released before it
+than blocks released before it exceed slots (the greedy basis of the matroid of schedulable sets). All
+amounts are integers, exact up to 2^32 blocks. All rows are kept.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from ..session import cut_lineage
 from .common import before, small
 
 RESULT = ["mix_block", "mix_slot", "mix_offset"]
+#: Resolution of the weights: rounding moves a source by less than n / 2^30 blocks over n blocks (of at most 2^32).
+SHARES = 1 << 30
+#: Slots of a stretch.
+STRETCH = 128
 
 
 def _shares(totals: DataFrame, weights: Mapping[str, float] | None, alpha: float, shares: int, block: int) -> DataFrame:
-    """(__src, n, share): blocks and integer share of a frame of each source."""
+    """(__src, n, share): blocks and integer weight of each source."""
     if weights is None:
         weight = F.pow(F.greatest(F.col("__sum"), F.lit(1)).cast("double"), F.lit(float(alpha)))
     else:
@@ -46,37 +52,50 @@ def _shares(totals: DataFrame, weights: Mapping[str, float] | None, alpha: float
     )
 
 
-def frames(sources: DataFrame) -> DataFrame:
-    """(__src, share, j, first, last, base, length, slot): the slot of the j-th block of a source in the
-    frames ``first`` .. ``last - 1``, which are alike; ``base`` slots come before frame ``first``."""
-    one = sources.agg(F.sort_array(F.collect_list(F.struct("__src", "n", "share"))).alias("s"))
-    cuts = F.array_sort(F.array_distinct(F.flatten(F.array(
-        F.array(F.lit(0).cast("long")),
-        F.transform("s", lambda x: F.floor(x["n"] / x["share"])),
-        F.transform("s", lambda x: F.floor(x["n"] / x["share"]) + 1),
-    ))))
-    runs = one.where(F.size("s") > 0).withColumn("cuts", cuts).select(
-        "s", F.posexplode(F.expr("slice(cuts, 1, size(cuts) - 1)")).alias("at", "first"), "cuts"
-    ).withColumn("last", F.expr("element_at(cuts, at + 2)"))
-    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], x["share"] * f))
-    runs = runs.withColumn("base", total(F.col("first"))).withColumn("length", total(F.col("first") + 1) - F.col("base")).where("length > 0")
-    runs = runs.withColumn("c", F.transform("s", lambda x, i: F.struct(
-        i.cast("long").alias("src"), x["share"].alias("share"),
-        (F.least(x["n"], x["share"] * (F.col("first") + 1)) - F.least(x["n"], x["share"] * F.col("first"))).alias("c"))))
-    # fluid slots used in the frame when a source of this share has run a of its blocks, times the share
-    fluid = lambda share, a: F.aggregate("c", F.lit(0).cast("long"), lambda acc, y: acc + F.least(y["c"] * share, y["share"] * a))
-    jobs = F.flatten(F.transform(F.filter("c", lambda x: x["c"] > 0), lambda x: F.transform(
-        F.sequence(F.lit(1).cast("long"), x["c"]),
-        lambda j: F.struct(
-            F.ceil(fluid(x["share"], j) / x["share"]).alias("deadline"),
-            x["src"].alias("src"), j.alias("j"),
-            F.floor(fluid(x["share"], j - 1) / x["share"]).alias("release"),
-        ))))
-    runs = runs.withColumn("jobs", F.array_sort(jobs))
+def _bound(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with SQL columns that are computed once a row, also if functions over arrays use them many times."""
+    return df.select("*", F.inline(F.array(F.struct(*[F.expr(e).alias(c) for c, e in columns.items()]))))
+
+
+def slots(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(__src, mix_block, mix_slot): the slot of every block."""
+    one = sources.agg(F.sort_array(F.collect_list(F.struct("__src", "n", "share"))).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    # fluid slots used when a source of this weight has run j blocks, times the weight
+    fluid = "aggregate(s, 0L, (acc, y) -> acc + least(y.n * {share}, y.share * ({j})))"
+    ends = "transform(s, x -> named_struct('src', x.__src, 'n', x.n, 'share', x.share, 'end', (" + fluid.format(share="x.share", j="x.n") + " + x.share - 1) div x.share))"
+    one = cut_lineage(_bound(one, ends=ends).select(F.col("ends").alias("s"), "all_n"))
+    total = one.first()["all_n"]
+    w = sources.sparkSession.range(-(-total // stretch)).select((F.col("id") * stretch).alias("first")).crossJoin(F.broadcast(one))
+    # whole blocks of sources that ended by slot t, and the rate of the others
+    amount = "named_struct('t', {t}, 'gone', aggregate(filter(s, x -> x.end <= {t}), 0L, (acc, x) -> acc + x.n), 'rate', aggregate(filter(s, x -> x.end > {t}), 0L, (acc, x) -> acc + x.share))"
+    low = "if(x.end <= {a}.t, x.n, (x.share * ({a}.t - {a}.gone)) div greatest({a}.rate, 1L))"
+    high = "if(x.end <= {a}.t, x.n, (x.share * ({a}.t - {a}.gone) + {a}.rate - 1) div greatest({a}.rate, 1L))"
+    job = "named_struct('deadline', (" + fluid.format(share="x.share", j="{j}") + " + x.share - 1) div x.share, 'src', {i}, 'j', {j}, 'release', " + fluid.format(share="x.share", j="{j} - 1") + " div x.share)"
+    w = _bound(w, last=f"least(first + {stretch}, all_n)")
+    w = _bound(w, a=amount.format(t="first"), z=amount.format(t="last"))
+    w = _bound(w, c=f"transform(s, (x, i) -> named_struct('src', cast(i as bigint), 'low', {low.format(a='a')}, 'high', {high.format(a='a')}, 'then', {high.format(a='z')}))")
+    begun = "filter(transform(s, (x, i) -> if(c[i].high > c[i].low, " + job.format(i="cast(i as bigint)", j="(c[i].low + 1)") + ", null)), x -> x IS NOT NULL)"
+    w = _bound(w, begun=f"array_sort({begun})")
+    w = _bound(w, since="array_min(transform(begun, x -> x.release))")
+    # blocks released before slot t beyond the t slots, from the first release of a begun block on
+    over = f"aggregate(s, 0L, (acc, x) -> acc + {high.format(a='b')}) - b.t"
+    w = _bound(w, over=f"if(since IS NULL, array(), transform(transform(sequence(since + 1, first), t -> {amount.format(t='t')}), b -> {over}))")
+    w = _bound(w, room="transform(begun, x -> named_struct('release', x.release, 'm', array_min(slice(over, cast(x.release - since + 1 as int), size(over)))))")
+    late = """
+        aggregate(reverse(begun), named_struct('room', room, 'late', cast(array() as array<bigint>)),
+            (acc, p) -> if(forall(acc.room, q -> q.release < p.release OR q.m > 0),
+                named_struct('room', transform(acc.room, q -> named_struct('release', q.release, 'm', q.m - if(q.release < p.release, 0L, 1L))), 'late', concat(acc.late, array(p.src))),
+                acc),
+            acc -> acc.late)
+    """
+    w = _bound(w, late=late)
+    w = _bound(w, c2="transform(c, x -> named_struct('done', if(array_contains(late, x.src), x.low, x.high), 'then', x.then))")
+    jobs = "flatten(transform(s, (x, i) -> if(c2[i].then > c2[i].done, transform(sequence(c2[i].done + 1, c2[i].then), j -> " + job.format(i="cast(i as bigint)", j="j") + "), array())))"
+    w = _bound(w, jobs=f"array_sort({jobs})")
     # earliest deadline first: at each slot the first of the sorted jobs that is released
-    order = F.expr("""
+    order = """
         aggregate(
-            sequence(0L, length - 1),
+            sequence(first, last - 1),
             named_struct('rest', jobs, 'done', cast(array() as array<struct<slot: bigint, src: bigint, j: bigint>>)),
             (acc, t) -> element_at(transform(
                 array(element_at(filter(acc.rest, x -> x.release <= t), 1)),
@@ -84,15 +103,12 @@ def frames(sources: DataFrame) -> DataFrame:
                     'rest', filter(acc.rest, x -> NOT (x.src = p.src AND x.j = p.j)),
                     'done', concat(acc.done, array(named_struct('slot', t, 'src', p.src, 'j', p.j))))), 1),
             acc -> acc.done)
-    """)
-    return runs.select("s", "first", "last", "base", "length", F.explode(order).alias("o")).select(
-        F.expr("element_at(s, cast(o.src + 1 as int)).__src").alias("__src"),
-        F.expr("element_at(s, cast(o.src + 1 as int)).share").alias("share"),
-        (F.col("o.j") - 1).alias("j"), "first", "last", "base", "length", F.col("o.slot").alias("slot"),
-    )
+    """
+    return w.select("s", F.explode(F.expr(order)).alias("o")).select(
+        F.expr("s[cast(o.src as int)].src").alias("__src"), (F.col("o.j") - 1).alias("mix_block"), F.col("o.slot").alias("mix_slot"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.7, shares: int = 100, block: int = 65_536,
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.7, shares: int = SHARES, block: int = 65_536,
         size: Column | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` plus ``mix_block`` (block within its source), ``mix_slot`` (the
     block's place in the whole interleaving) and ``mix_offset`` (size before the row within its source).
@@ -100,7 +116,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
 
     ``weights``: source -> positive target weight; sources not listed get the smallest listed one.
     Without weights a source's weight is its size to the power ``alpha``. ``shares``: weight resolution
-    (a frame has about as many blocks; each source at least one). ``size``: a row's size (default: code
+    (each source has at least one). ``size``: a row's size (default: code
     points of ``text``); a row lies in the block in which it starts. Within a source rows are ordered by a
     hash of the id. Null sources form a source of their own, null sizes are 0, repeated rows and ids keep their
     own places, an empty table gives an empty result, and input columns named like a result are replaced.
@@ -112,13 +128,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
         amount.alias("__amount"), F.col(id_col).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"),
     )
     sources = cut_lineage(_shares(d.groupBy("__src").agg(F.sum("__amount").alias("__sum")), weights, alpha, shares, block))
-    plan = cut_lineage(frames(sources))
+    plan = cut_lineage(slots(sources))
     d = before(d, ["__src"], [F.xxhash64("__id"), F.col("__id")], "mix_offset", F.col("__amount"))
     d = d.join(small(sources), "__src").withColumn("mix_block", F.least(F.floor(F.col("mix_offset") / block), F.col("n") - 1))
-    d = d.select("__src", (F.col("mix_block") % F.col("share")).alias("j"), F.floor(F.col("mix_block") / F.col("share")).alias("frame"), "mix_block", "mix_offset", "__row")
-    d = d.join(small(plan.drop("share")), ["__src", "j"]).where("frame >= first AND frame < last")
-    slot = F.col("base") + (F.col("frame") - F.col("first")) * F.col("length") + F.col("slot")
-    return d.select(*[F.col("__row").getField(c).alias(c) for c in keep], "mix_block", slot.alias("mix_slot"), "mix_offset")
+    d = d.select("__src", "mix_block", "mix_offset", "__row").join(small(plan), ["__src", "mix_block"])
+    return d.select(*[F.col("__row").getField(c).alias(c) for c in keep], "mix_block", "mix_slot", "mix_offset")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

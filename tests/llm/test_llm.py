@@ -61,6 +61,21 @@ def test_mixing_is_earliest_deadline_first_and_within_a_block(spark):
         assert all(abs(done[x] - shares[x] * t / 20) < 1 for x in "abc")
 
 
+def test_mixing_keeps_within_a_block_of_unrounded_weights(spark):
+    sizes = {"a": 700, "b": 310, "c": 290, "d": 41, "e": 260, "f": 9, "g": 1}
+    exact = {"a": 0.4637, "b": 0.2311, "c": 0.1873, "d": 0.0177, "e": 0.0932, "f": 0.0061, "g": 0.0009}
+    rows = [(i, s, 10) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = mixing.mix(docs, exact, block=10, size=F.col("n")).toPandas().sort_values("mix_slot")
+    assert sorted(got.doc_id) == [r[0] for r in rows] and got.mix_slot.tolist() == list(range(len(rows)))
+    whole = sum(exact.values())
+    assert got.source.tolist() == earliest_deadline_first({s: (n, round(2**30 * exact[s] / whole)) for s, n in sizes.items()})
+    done = dict.fromkeys(sizes, 0)
+    for t, s in enumerate(got.source[:1_100], 1):  # before any source but g ends
+        done[s] += 1
+        assert all(abs(done[x] - exact[x] / whole * t) < 1 for x in "abcdef")
+
+
 def test_mixing_awkward_rows(awkward, empty):
     got = mixing.mix(awkward, block=1000)
     assert got.count() == len(AWKWARD) and got.columns == [*awkward.columns, "mix_block", "mix_slot", "mix_offset"]
