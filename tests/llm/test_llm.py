@@ -117,6 +117,26 @@ def test_language_model_sums_to_one():
     assert np.all(total <= 1 + 1e-5) and np.all(total > 0.8)  # the rest is left to unseen letters
 
 
+def test_language_model_in_tables_has_all_counts(spark, awkward):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(awkward.select("doc_id", "text", "lang"))
+    one = "ein kleiner satz der nur einmal steht"  # a language whose 4-grams all have the lowest counts
+    docs = docs.unionByName(spark.createDataFrame([(i, one, "xx") for i in (1_000_003, 1_000_004) if zlib.crc32(str(i).encode()) % 5] or [(1_000_009, one, "xx")], "doc_id long, text string, lang string"))
+    models = [language.train(docs), language.train(docs, broadcast_grams=10)]
+    assert isinstance(models[0], language.Model) and isinstance(models[1], language.Tables) and models[0].langs == models[1].langs and "xx" in models[1].langs
+    assert models[0].temperature == models[1].temperature and models[0].threshold == pytest.approx(models[1].threshold, abs=1e-4)
+    want, got = (language.identify(docs, m).orderBy("doc_id", "text").toPandas() for m in models)
+    assert want.columns.tolist() == got.columns.tolist() and len(want) == len(got) == docs.count()
+    assert want.lang_pred.tolist() == got.lang_pred.tolist() and "xx" in set(got.lang_pred)
+    assert np.allclose(want.score, got.score, atol=1e-3) and np.allclose(want.cross_entropy, got.cross_entropy, atol=1e-4, equal_nan=True)
+
+
+def test_language_counts_the_calibration_fold_too(spark):
+    only = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
+    other = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 >= 2][:5]
+    docs = spark.createDataFrame([(i, "zwölf boxkämpfer jagen viktor", "de") for i in only] + [(i, "the quick brown fox", "en") for i in other], "doc_id long, text string, lang string")
+    assert language.train(docs).langs == ["de", "en"]
+
+
 def test_language_awkward_rows(awkward, empty):
     got = {r.doc_id: r for r in language.identify(awkward).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0
