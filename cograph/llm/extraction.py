@@ -1,7 +1,7 @@
 """Operator 4, main text of web pages by minimum-cut labelling.
 
 A page becomes text blocks with their place in the element tree. Each block's log odds of being content,
-from a logistic classifier over text statistics and from what its enclosing elements say, are its terminal capacity (to the
+from a logistic classifier over text statistics and, moderately, from what its enclosing elements say, are its terminal capacity (to the
 content terminal if positive, to the boilerplate terminal if negative). Neighbouring blocks, and blocks that
 follow each other under one element, are tied by smoothness edges, weaker with tree distance. The minimum cut
 labels the blocks. Blocks whose capacity outweighs all their edges are decided beforehand, which is exact; maximum flow
@@ -30,6 +30,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BOILERPLATE = {"nav", "footer", "aside", "menu"}
 CONTENT = {"article", "main"}
 BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "aside", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "form", "gdpr", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "alert", "header"}
+APART = {"comment", "comments", "disqus", "recommended", "related", "replies", "respond"}  # an article among these is another one
 GOOD_WORDS = {"article", "content", "entry", "main", "post", "story", "articlebody", "body", "text"}
 
 _TOKEN = re.compile(
@@ -38,9 +39,12 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAYBE_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-BOUND = 6.0  # what an enclosing element says, in log odds
+HINT = 1.5  # what an enclosing element says, in log odds: less than the text (LIMIT) and two strong ties can say
+LIMIT = 3.0  # what the text says, at most
 TIES = (0.8, 0.4)  # smoothness: neighbours in the page, followers under one element
 
 
@@ -53,18 +57,33 @@ class Block:
     says: int  # +1 content, -1 boilerplate, 0 nothing
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an element is hidden by an attribute of its own: hidden, aria-hidden=true, style with display:none."""
+    if not _MAYBE_HIDDEN.search(attrs):
+        return False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NONE.search(value)):
+            return True
+    return False
+
+
 def _says(name: str, attrs: str, inside: int) -> int | None:
-    """What an element says about its blocks, given what encloses it; None: nothing in it is text."""
-    if name in DROPPED or (attrs and _HIDDEN.search(attrs)):
+    """What an element says about its blocks, given what encloses it; None: nothing in it is text. -2 is boilerplate
+    that only ``main`` leaves, -1 one that an article leaves too."""
+    if name in DROPPED or (attrs and _hidden(attrs)):
         return None
-    if inside < 0 or name in BOILERPLATE:
-        return -1
+    if name in BOILERPLATE:
+        return -2
+    if inside < 0 and name != "main" and (inside < -1 or name not in CONTENT):
+        words = APART & _words(attrs) if inside == -1 and attrs else ()
+        return -2 if words else inside
     if attrs and name not in ("html", "body"):
-        words = {w.lower() for m in _NAMES.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+        words = _words(attrs)
         if inside > 0:
             words -= {"header", "tags", "text"}
         if words & BAD_WORDS:
-            return -1
+            return -2 if words & APART else -1
         if words & GOOD_WORDS:
             return 1
     if name in CONTENT:
@@ -74,6 +93,11 @@ def _says(name: str, attrs: str, inside: int) -> int | None:
     return inside
 
 
+def _words(attrs: str) -> set[str]:
+    """Words of the class, id and role attributes."""
+    return {w.lower() for m in _NAMES.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in page order; unclosed, misnested and cut-off markup is taken as browsers do, roughly."""
     out: list[Block] = []
@@ -84,7 +108,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked, in_link
         text = " ".join("".join(parts).split())
         if text and stack[-1][1] is not None:
-            out.append(Block(text, min(linked, len(text)), stack[-1][0], tuple(e[2] for e in stack), stack[-1][1]))
+            out.append(Block(text, min(linked, len(text)), stack[-1][0], tuple(e[2] for e in stack), max(-1, stack[-1][1])))
         parts, linked, in_link = [], 0, False
 
     at = 0
@@ -139,7 +163,7 @@ DEFAULT_WEIGHTS = (-2.0, 0.8, -4.0, 1.0, 0.5, 0.5, -1.0, -3.0)
 def costs(page: list[Block], weights: np.ndarray) -> np.ndarray:
     """Log odds of content of each block."""
     x = np.array([measures(b) for b in page])
-    return np.clip(x @ weights, -3, 3) + BOUND * np.array([b.says for b in page])
+    return np.clip(x @ weights, -LIMIT, LIMIT) + HINT * np.array([b.says for b in page])
 
 
 def ties(page: list[Block]) -> dict[tuple[int, int], float]:

@@ -160,6 +160,33 @@ def test_extraction(spark):
     assert extraction.extract(got.limit(0)).count() == 0
 
 
+LONG = "The council met on Monday, and after a long debate it agreed to repair the old bridge, which carries the road over the river."
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li><li><a href="/c">Contact</a></li></ul>'
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar"><article>{}</article></div>', '<div class="with-comments"><main>{}</main></div>',
+    '<div class="overflow-hidden">{}</div>', '<div style="overflow:hidden">{}</div>', '<div aria-hidden="false" title="not hidden">{}</div>', '<div data-note="hidden">{}</div>',
+    "<div>{}</div>"])
+def test_extraction_keeps_articles_in_any_wrapper(wrapper):
+    short = "So it was."  # alone boilerplate by its statistics: its neighbours decide
+    page = f"<html><body><div>{MENU}</div>" + wrapper.format(f"<p>{LONG}</p><p>{short}</p><p>{LONG}</p>") + "<div><p>© us</p></div></body></html>"
+    weights = np.array(extraction.DEFAULT_WEIGHTS)
+    assert extraction.main_blocks(page, weights) == [LONG, short, LONG]
+
+
+def test_extraction_text_outweighs_a_class_name():
+    page = f'<div>{MENU}</div><div class="widget">' + f"<p>{' '.join([LONG] * 4)}</p>" * 3 + '<p><a href="/x">More</a></p></div><div class="content"><p><a href="/y">Share this</a></p></div>'
+    assert extraction.main_blocks(page, np.array(extraction.DEFAULT_WEIGHTS)) == [" ".join([LONG] * 4)] * 3
+
+
+def test_extraction_leaves_out_hidden_text_and_other_articles():
+    weights = np.array(extraction.DEFAULT_WEIGHTS)
+    for attrs in ("hidden", "class=x hidden=''", "aria-hidden=true", 'style="color:red; display : none"'):
+        assert extraction.main_blocks(f"<div {attrs}><p>{LONG}</p></div><p>{LONG} Yes.</p>", weights) == [LONG + " Yes."]
+    page = extraction.blocks(f'<aside><article><p>{LONG}</p></article></aside><div class="comments"><article><p>{LONG}</p></article></div><div class="has-sidebar"><article><p>{LONG}</p></article></div>')
+    assert [b.says for b in page] == [-1, -1, 1]
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(3)
     for _ in range(60):
