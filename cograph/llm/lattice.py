@@ -169,7 +169,7 @@ def _meet(tables: int, probes: int, least: float):
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    tables: int = 4, blocks: int = 2, scale: float = 0.38, seed: int = 8) -> DataFrame:
+                    tables: int = 5, blocks: int = 2, scale: float = 0.36, seed: int = 8) -> DataFrame:
     """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors link when labels are equal and not null and the cosine is at least ``least``. ``tables`` raises

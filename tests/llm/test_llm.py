@@ -235,6 +235,17 @@ def test_lattice_dedup_against_brute_force(spark):
     assert got[200].component_id == 0 and not got[200].kept and all(got[i].n_links == 0 and got[i].kept for i in range(300, 307))
 
 
+def test_lattice_finds_borderline_pairs(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, 6_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= np.sqrt(1 - 0.9801**2) / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, 0.9801 * a + b]))]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links > 0").count() >= 0.999 * len(rows)
+
+
 def test_exact_dedup(awkward, empty):
     rows = exact.mark_duplicates(awkward, capacity=2, depth=4).collect()
     assert len(rows) == len(AWKWARD)
