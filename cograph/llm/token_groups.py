@@ -10,7 +10,11 @@ with all tokens in one order (rare before frequent, then by hash) two sets of Ja
 token among the first n - ceil(t n) + 1 of each. So a token of one group alone opens nothing; a token in
 several groups opens those whose bounds allow it: a query of n shingles whose first match is at position p
 overlaps a member of m shingles in at most min(n - p, m - q), and in at most its matches plus what follows the
-prefixes; that must reach t / (1 + t) (n + m). Opened pairs are compared exactly. No link between groups can be lost; links within a group change nothing.
+prefixes; that must reach t / (1 + t) (n + m). Opened pairs are compared exactly.
+This is not the token-group method's last step: a query's matches are not counted against a group's union to choose the
+groups that are opened; the matrix only drops tokens of one group and chooses pairs in the merging rounds, and then rows of
+different groups under one token are joined, positions and sizes permitting, which is quadratic in the rows of a token
+whose texts share much without linking. No link between groups can be lost; links within a group change nothing.
 """
 
 from __future__ import annotations
