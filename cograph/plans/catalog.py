@@ -599,14 +599,14 @@ def louvain_round(spark, d):
 
 @q("louvain")
 def louvain(spark, d):
-    e, _ = B.corpus_graph(spark, d, "anchor")
+    e, _ = B.words_graph(spark, d)
     return CM.louvain(e).communities
 
 
 @q("analyze_graph")
 def analyze_graph(spark, d):
-    e, n = B.corpus_graph(spark, d, "anchor")
-    return CM.analyze_graph(e, "anchor", n)
+    e, n = B.words_graph(spark, d)
+    return CM.analyze_graph(e, "words", n)
 
 
 @q("analyze_graph_brands")

@@ -86,3 +86,17 @@ def test_louvain_on_cliques_converges(spark):
     res = community.louvain(e)
     assert res.converged and res.num_communities == 3
     assert not community.louvain(e, max_levels=0).converged
+
+
+def test_louvain_queries_use_all_documents(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cograph.plans import bindings, catalog
+
+    seen, d = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog.CM, "louvain", lambda e: seen.append(e) or SimpleNamespace(communities=e))
+    monkeypatch.setattr(catalog.CM, "analyze_graph", lambda e, name, n: seen.extend([e, n]))
+    catalog.QUERIES["louvain"](spark, d), catalog.QUERIES["analyze_graph"](spark, d)
+    edges, nodes = bindings.words_graph(spark, d)
+    assert [x.count() for x in seen] == [edges.count(), edges.count(), nodes.count()]
+    assert edges.count() > bindings.corpus_graph(spark, d, "anchor")[0].count()
