@@ -200,9 +200,9 @@ acts AS (
 def read_dictionary(spark, d):
     path = _scratch(spark, "dict")
     B.dictionary_table(spark, d).write.parquet(path)
-    dic = io.read_dictionary(spark, path, expected_dim=B.dictionary(spark, d).dim)
-    rows = [(int(f), float(round(float((w**2).sum() ** 0.5), 9)), int(len(w))) for f, w in zip(dic.features, dic.w_enc)]
-    return spark.createDataFrame(rows, "feature int, w_norm double, dim bigint")
+    io.read_dictionary(spark, path, expected_dim=B.dictionary(spark, d).dim)  # checks the dimension, whatever the size
+    norm = F.sqrt(F.aggregate("w_enc", F.lit(0.0), lambda acc, w: acc + w * w))
+    return spark.read.parquet(path).select("feature", F.round(norm, 9).alias("w_norm"), F.size("w_enc").cast("bigint").alias("dim"))
 
 
 @q("write_result_csv", f"WITH {WORD_CTX} SELECT feature, count(*) AS frequency FROM ctx GROUP BY feature")

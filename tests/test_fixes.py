@@ -100,3 +100,13 @@ def test_louvain_queries_use_all_documents(spark, monkeypatch):
     edges, nodes = bindings.words_graph(spark, d)
     assert [x.count() for x in seen] == [edges.count(), edges.count(), nodes.count()]
     assert edges.count() > bindings.corpus_graph(spark, d, "anchor")[0].count()
+
+
+def test_read_dictionary_of_any_size(spark, monkeypatch):
+    from cograph.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.QUERIES["read_dictionary"](spark, d).collect()))
+    load = dictionary.load_dictionary
+    monkeypatch.setattr(io, "load_dictionary", lambda table, b_dec=None: load(table, b_dec, broadcast_cells=0))
+    assert sorted(map(tuple, catalog.QUERIES["read_dictionary"](spark, d).collect())) == want and want
