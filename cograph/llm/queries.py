@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, token_groups, url_lists
+from . import alignment, exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, runs, token_groups, url_lists
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 YEAR_START, YEAR = 1_704_067_200, 31_536_000
 
 
@@ -102,9 +103,36 @@ def op10_pu_quality(spark: SparkSession, d: str) -> DataFrame:
     return pu_quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    aligned = alignment.align(table(spark, d, "documents").select("doc_id", "text"), TOKENIZER, PIECES)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten, by crc32 of the id, the words from some word on repeat a stretch of them;
+    their words are joined by single spaces."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    d = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    d = d.withColumn("w", F.when(F.col("chosen"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")))
+    d = d.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    d = d.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    words = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return d.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = runs.find_runs(repeated_texts(table(spark, d, "documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), top.alias("top")).select(
+        "doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(F.col("top.length") * 1000 / -F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pfair_mix, op2_quote_links, op3_kneser_ney, op4_minimum_cut, op5_temporal_lists,
     op6_lattice_dedup, op7_extendible_hash, op8_binary_packing, op9_token_groups, op10_pu_quality,
+    op11_token_alignment, op13_period_runs,
 )}
 
 _BARE = r"rtrim(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') || regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/')"
