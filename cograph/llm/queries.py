@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, runs, token_groups, url_lists
+from . import alignment, decontamination, exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, runs, token_groups, url_lists
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,6 +108,11 @@ def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
 
 
+def op12_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    scanned = decontamination.scan(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def repeated_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text): of one document in ten, by crc32 of the id, the words from some word on repeat a stretch of them;
     their words are joined by single spaces."""
@@ -132,7 +137,7 @@ def op13_period_runs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pfair_mix, op2_quote_links, op3_kneser_ney, op4_minimum_cut, op5_temporal_lists,
     op6_lattice_dedup, op7_extendible_hash, op8_binary_packing, op9_token_groups, op10_pu_quality,
-    op11_token_alignment, op13_period_runs,
+    op11_token_alignment, op12_decontamination, op13_period_runs,
 )}
 
 _BARE = r"rtrim(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') || regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/')"
@@ -210,4 +215,18 @@ ORACLE = {
             JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 75 * (na.n + nb.n - p.c)),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
         SELECT a AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
+    "op12_decontamination": r"""
+        WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 10) AS n FROM bw WHERE len(w) > 0))),
+        sizes AS (SELECT DISTINCT n FROM win),
+        place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT dw.*, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw JOIN sizes ON len(w) >= n)),
+        hit AS (SELECT p.r, p.i, p.n, x.item_id FROM place p JOIN win x ON x.n = p.n AND x.g = p.g),
+        covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY 1),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+        SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
 }
