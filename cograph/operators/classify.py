@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import global_index
+from .order import before_key, hash_cutoffs
 
 SEED = 42  # fixed value: the reference's seed
 KERNELS = ("linear", "rbf", "poly")  # fixed value: order used for ties in model selection
@@ -34,11 +34,11 @@ def signed_diffs(pairs: DataFrame, topic: str = "topic") -> DataFrame:
 
 def topic_group_split(rows: DataFrame, seed: int = SEED, topic: str = "topic") -> DataFrame:
     """M9: (topic, split): floor(n/2) topics to train in md5(topic||seed) order, the rest to test."""
-    topics = rows.select(topic).distinct()
-    n = topics.count()
-    keyed = topics.withColumn("_h", F.struct(F.md5(F.concat_ws("|", F.col(topic).cast("string"), F.lit(str(seed)))).alias("h"), F.col(topic).alias("t")))
-    idx = global_index(keyed, "_h", "_i")
-    return idx.select(topic, F.when(F.col("_i") < F.lit(n // 2), F.lit("train")).otherwise(F.lit("test")).alias("split"))
+    topics = cut_lineage(rows.select(topic).distinct())
+    digest = F.md5(F.concat_ws("|", F.col(topic).cast("string"), F.lit(str(seed))))
+    end = hash_cutoffs(topics, digest, topic, [topics.count() // 2])[0]
+    train = F.lit(False) if end is None else before_key(F.struct(digest.alias("h"), F.col(topic).alias("k")), end)
+    return topics.select(topic, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 def split_mask(rows: DataFrame, splits: DataFrame, topic: str = "topic") -> tuple[DataFrame, DataFrame]:

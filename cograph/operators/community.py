@@ -1,23 +1,13 @@
-"""Communities and topology: A7, A8, G1, G2, G3, J10, P15, W3, W4.
-
-Louvain runs as an iterative DataFrame job. Node ids are first given dense bigint vertex ids
-(parallel global index), every round is a join + two hash aggregates + an arg-max aggregate,
-and the community state is checkpointed to the session's reliable checkpoint folder each round
-(lineage stays short and a lost executor only recomputes one round). Only scalars (m, Q, counts)
-reach the driver.
-"""
+"""Communities and topology: A8, G2, G3, J10, P15, W3, W4 (A7 is in ``modularity``, G1 in ``louvain``)."""
 
 from __future__ import annotations
 
-import logging
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .corpus import global_index
 from .graph import graph_counts, induced_by_community, symmetrize, weighted_degree
+from .louvain import LouvainResult, louvain
+from .modularity import degrees, modularity, modularity_value
 from .topk import top_k_per_group
 
 # Fixed values of the reference: the verdict margin and its three conclusions.
@@ -25,56 +15,12 @@ DELTA_Q_MARGIN = 0.05
 VERDICT_POLARIZED = "STRUCTURAL POLARIZATION"
 VERDICT_INTEGRATED = "UNEXPECTEDLY INTEGRATED"
 VERDICT_NONE = "NO SIGNIFICANT DIFFERENCE"
-SEED = 42
 # Gains are rounded before the arg-max: float sums depend on partition order, and exact ties
 # (features that always co-occur) must fall to the smaller community id on every partitioning.
 GAIN_PLACES = 9
-log = logging.getLogger(__name__)
-
-
-# ---------------------------------------------------------------- A7 / A8
-def _degrees(edges: DataFrame) -> DataFrame:
-    """Weighted degree per node; a self-loop counts twice."""
-    loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("id"), (F.col("weight") * 2).alias("w"))
-    plain = edges.filter(F.col("src") != F.col("dst"))
-    both = symmetrize(plain).select("id", F.col("weight").alias("w")).unionByName(loops)
-    return both.groupBy("id").agg(F.sum("w").alias("k"))
-
-
-def modularity_value(edges: DataFrame, communities: DataFrame, m: float | None = None) -> float:
-    """A7 as a scalar: Q = sum_c [L_c/m - (D_c/2m)^2], weighted, resolution 1 (one Spark job)."""
-    if m is None:
-        m = edges.agg(F.sum("weight")).first()[0]
-    if not m:
-        return 0.0
-    return float(_modularity_expr(edges, communities, float(m)).first()[0])
-
-
-def _modularity_expr(edges: DataFrame, communities: DataFrame, m: float) -> DataFrame:
-    cs = communities.select(F.col("id").alias("src"), F.col("community").alias("cs"))
-    cd = communities.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
-    intra = (
-        edges.join(cs, "src")
-        .join(cd, "dst")
-        .filter(F.col("cs") == F.col("cd"))
-        .select(F.col("cs").alias("community"), F.col("weight").alias("l"), F.lit(0.0).alias("d"))
-    )
-    deg = _degrees(edges).join(communities, "id").select("community", F.lit(0.0).alias("l"), F.col("k").alias("d"))
-    per_c = intra.unionByName(deg).groupBy("community").agg(F.sum("l").alias("l"), F.sum("d").alias("d"))
-    two_m = 2.0 * m
-    return per_c.agg(
-        (F.coalesce(F.sum("l"), F.lit(0.0)) / F.lit(m) - F.coalesce(F.sum((F.col("d") / two_m) * (F.col("d") / two_m)), F.lit(0.0))).alias(
-            "modularity"
-        )
-    )
-
-
-def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
-    """A7 as a one-row DataFrame ``modularity``."""
-    q = modularity_value(edges, communities)
-    return edges.sparkSession.createDataFrame([(q,)], "modularity double")
 
 
+# ---------------------------------------------------------------- A8
 def community_sizes(communities: DataFrame) -> DataFrame:
     """(community, size)."""
     return communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
@@ -85,7 +31,7 @@ def num_communities(communities: DataFrame) -> DataFrame:
     return communities.agg(F.countDistinct("community").alias("num_communities"))
 
 
-# ---------------------------------------------------------------- G2 / G1
+# ---------------------------------------------------------------- G2
 def _best_moves(sym: DataFrame, comm: DataFrame, k: DataFrame, tot: DataFrame, two_m: float) -> DataFrame:
     """For every node: current community, best community and the two gains.
 
@@ -129,7 +75,7 @@ def louvain_round(edges: DataFrame, communities: DataFrame | None = None, eligib
     A node moves only when its best gain beats staying by more than ``eps``.
     """
     sym = symmetrize(edges.filter(F.col("src") != F.col("dst")))
-    k = _degrees(edges)
+    k = degrees(edges)
     if communities is None:
         communities = k.select("id", F.col("id").alias("community"))
     m = edges.agg(F.sum("weight")).first()[0] or 0.0
@@ -158,125 +104,20 @@ def _round(sym, comm, k, two_m, eligible, eps):
     return _moved(_wants(sym, comm, k, two_m, eps), eligible)
 
 
-@dataclass
-class LouvainResult:
-    communities: DataFrame  # (id, community)
-    modularity: float
-    num_communities: int
-    levels: int
-    rounds: int
-    converged: bool = True  # False only when ``max_levels`` or ``max_rounds`` stopped the run
-
-
-def louvain(
-    edges: DataFrame,
-    max_levels: int | None = None,
-    max_rounds: int | None = None,
-    seed: int = SEED,
-    min_gain: float = 1e-7,
-) -> LouvainResult:
-    """G1: weighted Louvain on an undirected edge table (src, dst, weight).
-
-    Every round finds the move that each node would make alone and lets the nodes make it whose salted
-    hash falls in one of K classes; the round is kept only when Q rises by more than ``min_gain``. A rejected
-    round doubles K over the same moves; when K exceeds the movers, the single move of the largest gain is
-    tried. A level ends when no node wants to move or that move is rejected, so no single move is left that
-    raises Q by more than ``min_gain``. Each level is then contracted into a community graph (self-loops kept)
-    until a level merges nothing. ``max_levels`` and ``max_rounds`` (of a level) are unbounded by default;
-    ``converged`` says whether they cut the run. The result is a valid high-Q partition; it is not
-    bit-identical to a sequential implementation.
-    """
-    spark = edges.sparkSession
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    vid = cut_lineage(global_index(ends.withColumn("_o", F.col("id")), "_o", "vid").drop("_o"))
-    n_nodes = vid.count()
-    if n_nodes == 0:
-        empty = spark.createDataFrame([], "id bigint, community bigint")
-        return LouvainResult(empty, 0.0, 0, 0, 0)
-    vs = vid.select(F.col("id").alias("src"), F.col("vid").alias("s"))
-    vd = vid.select(F.col("id").alias("dst"), F.col("vid").alias("d"))
-    level_edges = cut_lineage(
-        edges.join(vs, "src").join(vd, "dst").select(
-            F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst"), F.col("weight").cast("double").alias("weight")
-        )
-    )
-    m = level_edges.agg(F.sum("weight")).first()[0] or 0.0
-    two_m = 2.0 * m
-    # assignment: original vertex id -> node of the current level
-    assign = vid.select(F.col("vid").alias("v"), F.col("vid").alias("node"))
-    q = None
-    levels = rounds = 0
-    converged = True
-    while two_m > 0:
-        if max_levels is not None and levels >= max_levels:
-            converged = False
-            break
-        sym = cut_lineage(symmetrize(level_edges.filter(F.col("src") != F.col("dst"))))
-        k = cut_lineage(_degrees(level_edges))
-        comm = k.select("id", F.col("id").alias("community"))
-        q = modularity_value(level_edges, comm, m) if q is None else q
-        n_level = k.count()
-        wants = cut_lineage(_wants(sym, comm, k, two_m, 1e-12))
-        kk, r = 2, 0
-        while movers := wants.filter(F.col("best").isNotNull()).count():
-            if max_rounds is not None and r >= max_rounds:
-                converged = False
-                break
-            alone = kk > movers
-            if alone:
-                top = wants.filter(F.col("best").isNotNull()).orderBy(F.col("gain").desc(), "id").first()
-                eligible = F.col("id") == F.lit(top["id"])
-            else:
-                eligible = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(levels), F.lit(r)), F.lit(kk)) == 0
-            cand = _moved(wants, eligible)
-            r += 1
-            rounds += 1
-            q_new = modularity_value(level_edges, cand, m)
-            log.info("louvain level %d round %d K=%d movers=%d Q %.6f -> %.6f", levels, r, kk, movers, q, q_new)
-            if q_new > q + min_gain:
-                comm, q, kk = cand, q_new, max(2, kk // 2)
-                wants = cut_lineage(_wants(sym, comm, k, two_m, 1e-12))
-            elif alone:
-                break
-            else:
-                kk *= 2
-        n_comm = comm.select("community").distinct().count()
-        levels += 1
-        assign = cut_lineage(
-            assign.join(comm.withColumnRenamed("id", "node"), "node").select("v", F.col("community").alias("node"))
-        )
-        if n_comm == n_level:
-            break
-        cu = comm.select(F.col("id").alias("src"), F.col("community").alias("cu"))
-        cv = comm.select(F.col("id").alias("dst"), F.col("community").alias("cv"))
-        level_edges = cut_lineage(
-            level_edges.join(cu, "src")
-            .join(cv, "dst")
-            .groupBy(F.least("cu", "cv").alias("src"), F.greatest("cu", "cv").alias("dst"))
-            .agg(F.sum("weight").alias("weight"))
-        )
-    result = assign.join(vid.withColumnRenamed("vid", "v"), "v").select("id", F.col("node").alias("community"))
-    result = cut_lineage(result)
-    n_comm = result.select("community").distinct().count()
-    return LouvainResult(result, float(q or 0.0), int(n_comm), levels, rounds, converged)
-
-
 # ---------------------------------------------------------------- G3 / J10 / P15
-def analyze_graph(edges: DataFrame, label: str, nodes: DataFrame | None = None, **louvain_kw) -> DataFrame:
+def analyze_graph(edges: DataFrame, label: str, nodes: DataFrame | None = None, found: LouvainResult | None = None, **louvain_kw) -> DataFrame:
     """One D12 row (graph, nodes, edges, density, modularity, num_communities).
 
-    No edges -> every metric but the node count is 0 (num_communities always present).
+    ``found``: communities of the same edges, if at hand. No edges -> every metric but the node count is 0
+    (num_communities always present).
     """
     counts = graph_counts(edges, nodes).first()
     spark = edges.sparkSession
     schema = "graph string, nodes bigint, edges bigint, density double, modularity double, num_communities bigint"
     if counts["edges"] == 0:
         return spark.createDataFrame([(label, counts["nodes"], 0, 0.0, 0.0, 0)], schema)
-    res = louvain(edges, **louvain_kw)
-    q = modularity_value(edges, res.communities)
-    return spark.createDataFrame(
-        [(label, counts["nodes"], counts["edges"], counts["density"], q, res.num_communities)], schema
-    )
+    res = found or louvain(edges, **louvain_kw)
+    return spark.createDataFrame([(label, counts["nodes"], counts["edges"], counts["density"], res.modularity, res.num_communities)], schema)
 
 
 def compare_graphs(stats: DataFrame, graph_a: str, graph_b: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_KEYWORDS, keyword_match, words
 from ..session import cut_lineage
+from .order import Ranges, before_key
 
 CONTEXT_WINDOW = 2048  # fixed value: the reference's context window (tokens)
 ACCUMULATE_BATCH = 1000  # fixed value: rows per accumulation batch
@@ -112,20 +113,18 @@ def accumulate_tokens(
 ) -> DataFrame:
     """Whole batches of ``batch_size`` rows, in order, while the running total < target.
 
-    The batch that crosses the target is kept whole. Running sums run over the per-batch table
-    (rows / batch_size rows), not over rows.
+    The batch that crosses the target is kept whole, so the result is a prefix of the order: only (order key, number of
+    tokens) is dealt out by ranges, the row that reaches the target is found in its range, and the key behind
+    its batch becomes a filter on the input. ``order_col`` must tell rows apart; a null array counts as no tokens.
     """
     if target_tokens <= 0:
         return tokenized.limit(0)
-    indexed = global_index(tokenized, order_col, "_idx").withColumn("_batch", F.floor(F.col("_idx") / batch_size))
-    per_batch = indexed.groupBy("_batch").agg(F.sum(F.size(F.col(ids))).alias("_bt"))
-    # The per-batch table is small (rows / batch_size); a global running sum over it is fine.
-    before = per_batch.withColumn(
-        "_before",
-        F.coalesce(F.sum("_bt").over(Window.orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    keep = before.filter(F.col("_before") < F.lit(int(target_tokens))).select("_batch")
-    return indexed.join(keep, "_batch", "left_semi").drop("_batch")
+    ranges = Ranges(tokenized, order_col, F.greatest(F.size(F.col(ids)), F.lit(0)))
+    rows = ranges.rank_reaching(int(target_tokens))
+    last = None if rows is None else -(-rows // batch_size) * batch_size
+    if last is None or last >= ranges.count:
+        return tokenized
+    return tokenized.filter(before_key(F.col(order_col), ranges.key_at(last)))
 
 
 def prepare_balanced(
@@ -177,6 +176,9 @@ def balance_length(n_a: DataFrame, n_b: DataFrame) -> DataFrame:
 
 
 def truncate_contexts(contexts: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
-    """The first ``n`` contexts in (order_cols) order, via the parallel global index."""
-    keyed = contexts.withColumn("_ok", F.struct(*[F.col(c) for c in order_cols]))
-    return global_index(keyed, "_ok", "_idx").filter(F.col("_idx") < F.lit(int(n))).drop("_ok", "_idx")
+    """The first ``n`` contexts in (order_cols) order, which must tell them apart: a filter by the key at place n."""
+    if n <= 0:
+        return contexts.limit(0)
+    key = F.struct(*[F.col(c) for c in order_cols])
+    ranges = Ranges(contexts.select(key.alias("key")), "key")
+    return contexts if n >= ranges.count else contexts.filter(before_key(key, ranges.key_at(int(n))))

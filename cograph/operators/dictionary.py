@@ -1,9 +1,10 @@
 """Dictionary (sparse-autoencoder style) features: P5, P6, J7, W7, W8, W10, J4, J5.
 
 The dictionary is a table ``(feature int, w_enc array<double>, b_enc double, w_dec array<double>)``
-plus one ``b_dec`` vector. It is model parameters: up to a checked size it is broadcast once and the big
-side (vectors, vocabulary) stays partitioned; a larger one stays a table, and its feature blocks meet
-slices of the big side in a cogroup. Products run as numpy matmuls on tiles of bounded size.
+plus one ``b_dec`` vector. It is model parameters: they are broadcast and the big side (vectors, vocabulary) stays
+where it is and is read once. A dictionary of many cells is written as blocks of features, which the driver broadcasts
+one after another, holding one at a time; a task gathers a slab of rows and takes the blocks in turn from the files that
+Spark keeps on its executor, so that it too holds one. Products run as numpy matmuls on tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .graph import symmetrize
 from .topk import top_k_per_group
 
 ACTIVATION_THRESHOLD = 1.0  # fixed value: the reference's activation threshold (strict >)
 BROADCAST_CELLS = 8_000_000  # features x dimension up to which the dictionary is broadcast (64 MB of doubles a matrix)
-BLOCK_CELLS = 4_000_000  # features x dimension of one block of a larger dictionary, and of one slice of vectors
+BLOCK_CELLS = 4_000_000  # features x dimension of one block of a larger dictionary, and rows x dimension of a slab
 TILE_CELLS = 2_000_000  # rows x features of one product
 ISOLATED = "ISOLATED"  # fixed value: label of a probe feature without graph neighbours
 
@@ -56,16 +58,31 @@ class Dictionary:
 
 @dataclass(frozen=True)
 class DictionaryTable:
-    """A dictionary that stays a table because it is too large to broadcast."""
+    """A dictionary that stays a table because it is too large for the driver to hold at once."""
 
     table: DataFrame
     n_features: int
     dim: int
     b_dec: np.ndarray
-
-
-def load_dictionary(table: DataFrame, b_dec=None, broadcast_cells: int = BROADCAST_CELLS) -> Dictionary | DictionaryTable:
-    """S8 read side: broadcastable parameters up to ``broadcast_cells``, the table itself beyond; any size works."""
+    block_cells: int | None = None  # None: BLOCK_CELLS
+
+    def blocks(self, weights: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(features, *weights) of blocks of about ``block_cells`` cells, features ascending in each; one is read at a time."""
+        n = max(1, -(-self.n_features * max(self.dim, 1) // (self.block_cells or BLOCK_CELLS)))
+        dealt = self.table.select("feature", *weights).withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(n)).cast("int"))
+        written = cut_lineage(dealt.repartition(n, "block"), partition_by="block")
+        for i in range(n):
+            rows = written.where(F.col("block") == i).select("feature", *weights).orderBy("feature").toArrow()
+            if rows.num_rows:
+                flat = [rows[w].combine_chunks() for w in weights]
+                yield rows["feature"].to_numpy().astype(np.int64), *[
+                    c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) if w.startswith("w_") else c.to_numpy(zero_copy_only=False).astype(np.float64)
+                    for w, c in zip(weights, flat, strict=True)]
+
+
+def load_dictionary(table: DataFrame, b_dec=None, broadcast_cells: int = BROADCAST_CELLS, block_cells: int | None = None) -> Dictionary | DictionaryTable:
+    """S8 read side: driver-side parameters up to ``broadcast_cells``, the table itself beyond, to be used in blocks of
+    ``block_cells``; any size works and gives the same."""
     stats = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w_enc")).alias("d"), F.min(F.size("w_enc")).alias("d0")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or 0)
     if n and stats["d0"] != d:
@@ -73,7 +90,7 @@ def load_dictionary(table: DataFrame, b_dec=None, broadcast_cells: int = BROADCA
     bd = np.zeros(d) if b_dec is None else np.asarray(b_dec, dtype=np.float64)
     if bd.shape[0] != d:
         raise ValueError(f"b_dec has {bd.shape[0]} dims, dictionary has {d}")
-    return Dictionary.from_table(table, bd) if n * max(d, 1) <= broadcast_cells else DictionaryTable(table, n, d, bd)
+    return Dictionary.from_table(table, bd) if n * max(d, 1) <= broadcast_cells else DictionaryTable(table, n, d, bd, block_cells)
 
 
 def _matrix(col: pd.Series, d: int) -> np.ndarray:
@@ -83,40 +100,44 @@ def _matrix(col: pd.Series, d: int) -> np.ndarray:
     return x
 
 
-def _against_dictionary(rows: DataFrame, vector: str, dictionary: Dictionary | DictionaryTable, weights: list[str], product: Callable, schema: str) -> DataFrame:
-    """``product(rows, features, *weights)`` (a generator of frames) for all rows with all features.
+def _taken(block):
+    """Value of a broadcast in a task; not kept, the next use reads Spark's local file again."""
+    value = block.value
+    if getattr(block, "_path", None):
+        vars(block).pop("_value", None)
+    return value
 
-    A broadcast dictionary meets the rows where they are. Of a larger one every feature block is grouped with
-    every slice of the rows; both have a bounded number of cells, so no task holds more than one of each.
-    """
-    spark = rows.sparkSession
-    if isinstance(dictionary, Dictionary):
-        bc = spark.sparkContext.broadcast((dictionary.features, *[getattr(dictionary, w) for w in weights]))
-
-        def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(bc.value[0]):
-                    yield from product(pdf, *bc.value)
-
-        return rows.mapInPandas(here, schema)
-    d = max(dictionary.dim, 1)
-    blocks = -(-dictionary.n_features * d // BLOCK_CELLS)
-    slices = max(1, -(-rows.count() * d // BLOCK_CELLS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int")).withColumn("_block", every(blocks))
-    right = dictionary.table.select("feature", *weights).withColumn("_block", F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int")).withColumn("_slice", every(slices))
-    names = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
-
-    def meet(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(block):
-            return pd.DataFrame(columns=names)
-        block = block.sort_values("feature")
-        w = [_matrix(block[c], dictionary_dim) if c.startswith("w_") else block[c].to_numpy(dtype=np.float64) for c in weights]
-        parts = list(product(pdf, block["feature"].to_numpy(np.int64), *w))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
-
-    dictionary_dim = dictionary.dim
-    return left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(meet, schema)
+
+def _slabs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in frames of ``rows`` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        for a in range(0, len(pdf), rows):
+            part = pdf.iloc[a : a + rows]
+            if n and n + len(part) > rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _against_dictionary(rows: DataFrame, dictionary: Dictionary | DictionaryTable, weights: list[str], product: Callable, schema: str) -> DataFrame:
+    """``product(rows, features, *weights)`` (a generator of frames) for all rows with all features, in one pass over the
+    rows where they are. Of a larger dictionary a slab of rows meets block after block."""
+    sc = rows.sparkSession.sparkContext
+    whole = isinstance(dictionary, Dictionary)
+    blocks = [(dictionary.features, *[getattr(dictionary, w) for w in weights])] if whole else dictionary.blocks(weights)
+    shared = [sc.broadcast(block) for block in blocks if len(block[0])]  # a generator: one block is held at a time
+    slab = max(1, BLOCK_CELLS // max(dictionary.dim, 1))  # rows that meet a block at once
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches if whole else _slabs(batches, slab):
+            for block in shared if len(pdf) else []:
+                yield from product(pdf, *(block.value if whole else _taken(block)))
+
+    return rows.mapInPandas(meet, schema)
 
 
 def encode_features(
@@ -144,7 +165,7 @@ def encode_features(
             out = {k: part[k].to_numpy()[rows] for k in keys}
             yield pd.DataFrame(out | {"feature": feats[cols].astype(np.int32), "act": acts[rows, cols]})
 
-    return _against_dictionary(vectors.select(*keys, vector), vector, dictionary, ["w_enc", "b_enc"], product, f"{key_ddl}, feature int, act double")
+    return _against_dictionary(vectors.select(*keys, vector), dictionary, ["w_enc", "b_enc"], product, f"{key_ddl}, feature int, act double")
 
 
 def active_features(
@@ -185,7 +206,7 @@ def label_features(
             rows, cols = np.nonzero(logits >= kth)
             yield pd.DataFrame({"feature": feats[a + rows].astype(np.int32), "token": toks[cols], "logit": logits[rows, cols]})
 
-    cands = _against_dictionary(unembed.select(token, vector), vector, dictionary, ["w_dec"], product, "feature int, token string, logit double")
+    cands = _against_dictionary(unembed.select(token, vector), dictionary, ["w_dec"], product, "feature int, token string, logit double")
     return top_k_per_group(cands, "feature", "logit", k, tie="token")
 
 

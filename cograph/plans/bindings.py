@@ -19,9 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import community as CM
 from ..operators import corpus as C
 from ..operators import graph as G
-from ..operators.dictionary import Dictionary
+from ..operators.dictionary import Dictionary, DictionaryTable, load_dictionary
 from ..session import cut_lineage
 
 # Parameters of the registered queries (fixed up front, shared with the oracle SQL).
@@ -45,7 +46,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _cached(spark: SparkSession, d: str, name: str, build):
-    key = (id(spark), d, name)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _memo:
         _memo[key] = build()
     return _memo[key]
@@ -91,6 +92,10 @@ def words_frequency(spark, d) -> DataFrame:
     return _cached(spark, d, "words_freq", lambda: cut_lineage(G.feature_frequency(word_contexts(spark, d))))
 
 
+def words_communities(spark, d) -> CM.LouvainResult:
+    return _cached(spark, d, "words_communities", lambda: CM.louvain(words_graph(spark, d)[0]))
+
+
 def first_letter_partition(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.substring(F.col("id"), 1, 1).alias("community"))
 
@@ -128,31 +133,36 @@ def embeddings(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")
 
 
-def dictionary(spark, d) -> Dictionary:
-    """Model parameters computed by Spark aggregates: d-dim mean and one centroid per label."""
+def dictionary_table(spark, d) -> DataFrame:
+    """Model parameters as a table: per label the direction of its centroid from the mean, times the gain."""
 
     def build():
-        e = embeddings(spark, d)
-        dims = e.select("label", F.posexplode("vector").alias("k", "v"))
-        mu_rows = dims.groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()
-        mu = np.array([r["m"] for r in mu_rows])
-        cen = dims.groupBy("label", "k").agg(F.avg("v").alias("c")).collect()
-        labels = sorted({r["label"] for r in cen})
-        cmat = np.zeros((len(labels), len(mu)))
-        pos = {lab: i for i, lab in enumerate(labels)}
-        for r in cen:
-            cmat[pos[r["label"]], r["k"]] = r["c"]
-        u = cmat - mu
-        w = DICT_GAIN * u / np.linalg.norm(u, axis=1, keepdims=True)
-        return Dictionary(labels, w, np.zeros(len(labels)), w, mu)
-
-    return _cached(spark, d, "dictionary", build)
+        dims = embeddings(spark, d).select("label", F.posexplode("vector").alias("k", "v"))
+        mean = dims.groupBy("k").agg(F.avg("v").alias("m"))
+        centroid = dims.groupBy("label", "k").agg(F.avg("v").alias("c"))
+        away = centroid.join(mean, "k").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("c") - F.col("m")).alias("u")))).alias("ku"))
+        u = away.select("label", F.transform("ku", lambda s: s["u"]).alias("u"))
+        u = u.withColumn("norm", F.sqrt(F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x * x)))
+        w = F.transform("u", lambda x: F.lit(float(DICT_GAIN)) * x / F.col("norm"))
+        return cut_lineage(u.select(F.col("label").cast("int").alias("feature"), w.alias("w_enc"), F.lit(0.0).alias("b_enc"), w.alias("w_dec")))
 
+    return _cached(spark, d, "dictionary_table", build)
 
-def dictionary_table(spark, d) -> DataFrame:
-    dic = dictionary(spark, d)
-    rows = [(int(f), [float(x) for x in we], 0.0, [float(x) for x in wd]) for f, we, wd in zip(dic.features, dic.w_enc, dic.w_dec)]
-    return spark.createDataFrame(rows, "feature int, w_enc array<double>, b_enc double, w_dec array<double>")
+
+def dictionary_bias(spark, d) -> np.ndarray:
+    """Mean embedding: one number a dimension."""
+    dims = embeddings(spark, d).select(F.posexplode("vector").alias("k", "v"))
+    return _cached(spark, d, "dictionary_bias", lambda: np.array([r["m"] for r in dims.groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()]))
+
+
+def dictionary(spark, d) -> Dictionary | DictionaryTable:
+    return _cached(spark, d, "dictionary", lambda: load_dictionary(dictionary_table(spark, d), dictionary_bias(spark, d)))
+
+
+def blocked_dictionary(spark, d) -> DictionaryTable:
+    """The same dictionary as a table that is used in blocks of two features."""
+    bias = dictionary_bias(spark, d)
+    return load_dictionary(dictionary_table(spark, d), bias, broadcast_cells=0, block_cells=2 * len(bias))
 
 
 def dict_acts(spark, d) -> DataFrame:

@@ -599,14 +599,29 @@ def louvain_round(spark, d):
 
 @q("louvain")
 def louvain(spark, d):
-    e, _ = B.words_graph(spark, d)
-    return CM.louvain(e).communities
+    return B.words_communities(spark, d).communities
+
+
+@q(
+    "louvain_cliques",
+    """SELECT l_orderkey * 8 + l_linenumber AS id, min(l_orderkey * 8 + l_linenumber) OVER w AS community
+    FROM lineitem QUALIFY count(*) OVER w > 1 WINDOW w AS (PARTITION BY l_orderkey)""",
+)
+def louvain_cliques(spark, d):
+    """G1 on a graph whose best partition is known: the lines of an order form a clique (of at most 7), so orders are the
+    communities."""
+    line = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    other = line.withColumnRenamed("id", "dst")
+    edges = line.withColumnRenamed("id", "src").join(other, "l_orderkey").where("src < dst").select("src", "dst", F.lit(1.0).alias("weight"))
+    found = CM.louvain(edges).communities
+    name = found.groupBy("community").agg(F.min("id").alias("name"))
+    return found.join(name, "community").select("id", F.col("name").alias("community"))
 
 
 @q("analyze_graph")
 def analyze_graph(spark, d):
     e, n = B.words_graph(spark, d)
-    return CM.analyze_graph(e, "words", n)
+    return CM.analyze_graph(e, "words", n, found=B.words_communities(spark, d))
 
 
 @q("analyze_graph_brands")
@@ -678,6 +693,13 @@ def encode_features(spark, d):
     return B.dict_acts(spark, d).select("vec_id", "feature", r9(F.col("act")).alias("act"))
 
 
+@q("encode_features_blocks", ORACLE["encode_features"])
+def encode_features_blocks(spark, d):
+    """P5 with a dictionary that is broadcast block by block."""
+    acts = D.encode_features(B.embeddings(spark, d), B.blocked_dictionary(spark, d), "vec_id", "vector", threshold=0.0)
+    return acts.select("vec_id", "feature", r9(F.col("act")).alias("act"))
+
+
 @q(
     "active_features",
     f"""WITH {DICT_SQL}, s AS (SELECT vec_id, list_sort(list(feature::INT)) AS features FROM acts WHERE act > {B.DICT_THRESHOLD} GROUP BY vec_id)
@@ -716,6 +738,13 @@ def label_features(spark, d):
     return lab.select("feature", "token", r9(F.col("logit")).alias("logit"), "rank")
 
 
+@q("label_features_blocks", ORACLE["label_features"])
+def label_features_blocks(spark, d):
+    """J7 with a dictionary that is broadcast block by block."""
+    lab = D.label_features(B.blocked_dictionary(spark, d), B.unembed(spark, d), 5)
+    return lab.select("feature", "token", r9(F.col("logit")).alias("logit"), "rank")
+
+
 TOKVEC_SQL = f"""toks AS (
   SELECT conv_id, turn, unnest(ws) AS token, unnest(generate_series(0, len(ws) - 1))::INT AS pos
   FROM (SELECT conv_id, turn, {WORDS} AS ws FROM conversations)),

@@ -49,12 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as Parquet in the session's shared checkpoint folder and read it back.
 
     One computation (an eager RDD checkpoint runs the plan twice), the lineage is cut, the copy
-    survives executor loss, and the re-read scan carries file statistics for AQE.
+    survives executor loss, and the re-read scan carries file statistics for AQE. ``partition_by``: a column
+    whose values become directories.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cograph-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -94,10 +94,11 @@ def test_louvain_queries_use_all_documents(spark, monkeypatch):
     from cograph.plans import bindings, catalog
 
     seen, d = [], "/root/testdata/sf0.001"
+    edges, nodes = bindings.words_graph(spark, d)
+    monkeypatch.setattr(bindings, "_memo", {k: v for k, v in bindings._memo.items() if k[2] != "words_communities"})
     monkeypatch.setattr(catalog.CM, "louvain", lambda e: seen.append(e) or SimpleNamespace(communities=e))
-    monkeypatch.setattr(catalog.CM, "analyze_graph", lambda e, name, n: seen.extend([e, n]))
+    monkeypatch.setattr(catalog.CM, "analyze_graph", lambda e, name, n, found: seen.extend([found.communities, n]))
     catalog.QUERIES["louvain"](spark, d), catalog.QUERIES["analyze_graph"](spark, d)
-    edges, nodes = bindings.words_graph(spark, d)
     assert [x.count() for x in seen] == [edges.count(), edges.count(), nodes.count()]
     assert edges.count() > bindings.corpus_graph(spark, d, "anchor")[0].count()
 
