@@ -131,13 +131,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 10_000, unlabelled: int = 20_000) -> Model:
     """Fit on rows outside fold 0: up to ``positives`` rows labelled 1 and up to ``unlabelled`` rows whatever
-    their label (both of the smallest id hashes); labels of other values and of fold 0 are not read."""
+    their label (both of the smallest id hashes); labels of other values and of fold 0 are not read. Rows that repeat
+    an id count once, with the least of their texts, so the bounds hold for rows."""
     ship(docs.sparkSession)
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).where(fold("id") != 0)
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).where(fold("id") != 0).distinct()
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()
     pick = lambda d, n, kind: d.orderBy(F.xxhash64(F.lit(kind), F.col("id")), "id").limit(n).select("id", F.lit(kind).alias("kind"))
     chosen = pick(ids.join(good, "id", "left_semi"), positives, "p").unionByName(pick(ids, unlabelled, "u"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("kind", "id").agg(F.min("text").alias("text"))  # one row an id, however many the table has
 
     def measure(batches):
         for batch in batches:
