@@ -79,7 +79,7 @@ def linkable(path_a: str, path_b: str) -> np.ndarray:
 
 def _tokens(texts: list[str | None], path_a: str, path_b: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both sides for each text; none where the bytes of a side are not those of space + text."""
-    encode, model, bytes_a, bytes_b = _encoder(path_a), _piece_model(path_b), _byte_level(path_a).__getitem__, _pieces(path_b).__getitem__
+    encode, model, bytes_a, bytes_b = _encoder(path_a, specials_are_text=True), _piece_model(path_b), _byte_level(path_a).__getitem__, _pieces(path_b).__getitem__
     none, out_a, out_b = np.zeros(0, np.int64), [], []
     for text in texts:
         a = b = none

@@ -36,22 +36,25 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Text -> its ids as little-endian bytes. Both libraries give the same ids from the same vocabulary; the
-    one that reads it as ranks is four times as fast and takes all texts of well-known characters."""
+def _encoder(path: str, specials_are_text: bool = False):
+    """Text -> its ids as little-endian bytes, as the tokenizer's own call gives them: a special token's string in a text
+    is that token, or ordinary text with ``specials_are_text``. Both libraries give the same ids from the same
+    vocabulary; the one that reads it as ranks is four times as fast and takes all texts of well-known characters."""
     import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    tokenizer.encode_special_tokens = specials_are_text
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     byte_of, special = _byte_of(), {t["content"] for t in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    slow = re.compile("|".join([_OTHER.pattern, *([] if specials_are_text else map(re.escape, sorted(special)))]))
+
     def encode(text: str) -> bytes:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids if _OTHER.search(text) else fast.encode_ordinary(text)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if slow.search(text) else fast.encode_ordinary(text)
         return array("I", ids).tobytes()
 
     return encode
@@ -93,7 +96,8 @@ def token_pieces(path: str, max_len: int, end_id: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32[, ids], doc_tokens, sequence_id, offset``.
 
-    ``tokenizer``: path of a byte-level vocabulary file that every executor can read; ``max_len``: a power
+    ``tokenizer``: path of a byte-level vocabulary file that every executor can read (the string of one of its special
+    tokens in a text becomes that token); ``max_len``: a power
     of two; ``end_id`` ends every document. A piece is a whole sequence (offset 0) of a power of two ids;
     ``sequence_id`` = rank within its length times the number of lengths, plus the exponent.
     ``order``: columns of ``docs`` in whose order the sequences of each length are numbered (a document's pieces stay in

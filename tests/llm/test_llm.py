@@ -271,7 +271,6 @@ def test_packing_round_trip(spark, awkward, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     got = packing.pack(awkward, TOKENIZER, max_len=64, with_ids=True).toPandas()
     assert got.sequence_id.is_unique and set(got.offset) == {0} and {n & (n - 1) for n in got.length} == {0}
     for i, text, *_ in AWKWARD[:5] + AWKWARD[8:]:
@@ -286,11 +285,23 @@ def test_tokens_equal_the_tokenizer_on_whole_table(spark):
     from tokenizers import Tokenizer
 
     tokenizer, encode = Tokenizer.from_file(TOKENIZER), packing._encoder(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["don't  stop\n\n  1²½ ªº ÿ", "'s x's  \t", "a­b"]
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["don't  stop\n\n  1²½ ªº ÿ", "'s x's  \t", "a­b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|", "日本<|endoftext|><|endoftext|>"]
+    assert np.frombuffer(encode("a <|endoftext|> b"), np.uint32).tolist() == [64, 220, 50256, 275]
     assert all(np.frombuffer(encode(t), np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_quality_sample_is_bounded_in_rows(spark, monkeypatch):
+    rows = [(1, f"repeated text {i}") for i in range(10_000)] + [(i, f"text number {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60) for _ in range(3)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(pu_quality, "fit", lambda p, u: seen.append((len(p), len(u))))
+    pu_quality.train(docs, labels, positives=10, unlabelled=20)
+    pu_quality.train(docs, labels)
+    outside = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(10, 20), (sum(i % 2 for i in outside), len(outside))]
+
+
 def brute_force_classes(rows):
     sets = {}
     for i, text in rows:
