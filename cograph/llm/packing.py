@@ -51,10 +51,11 @@ def _encoder(path: str, specials_are_text: bool = False):
     ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    slow = re.compile("|".join([_OTHER.pattern, *([] if specials_are_text else map(re.escape, sorted(special)))]))
+    tokens = [] if specials_are_text else sorted(special)
 
     def encode(text: str) -> bytes:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids if slow.search(text) else fast.encode_ordinary(text)
+        slow = any(token in text for token in tokens) or _OTHER.search(text)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids if slow else fast.encode_ordinary(text)
         return array("I", ids).tobytes()
 
     return encode
