@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .graph import symmetrize
 from .topk import top_k_per_group
 
@@ -126,6 +126,7 @@ def _slabs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]
 def _against_dictionary(rows: DataFrame, dictionary: Dictionary | DictionaryTable, weights: list[str], product: Callable, schema: str) -> DataFrame:
     """``product(rows, features, *weights)`` (a generator of frames) for all rows with all features, in one pass over the
     rows where they are. Of a larger dictionary a slab of rows meets block after block."""
+    ship_package(rows.sparkSession)
     sc = rows.sparkSession.sparkContext
     whole = isinstance(dictionary, Dictionary)
     blocks = [(dictionary.features, *[getattr(dictionary, w) for w in weights])] if whole else dictionary.blocks(weights)

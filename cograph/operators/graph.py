@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Defaults of the reference configuration (fixed values).
 MIN_COOCCURRENCE = 5
 PHI_THRESHOLD = 0.05
@@ -154,7 +156,7 @@ def build_graph(
     ids = _feature_ids(freq.filter((F.col("frequency") >= min_c) & (F.col("frequency") < F.lit(n))))
     counted = _pairs(contexts, ids, ctx, features, n_contexts=n, phi_threshold=phi_threshold, min_count=min_c)
     decoded = _decode(counted.filter(F.col("n_ij") >= int(min_cooccurrence)), ids)
-    edges = _weigh(decoded, n, phi_threshold)
+    edges = cut_lineage(_weigh(decoded, n, phi_threshold))  # the nodes are read off the edges: pairs are counted once
     nodes = node_attributes(edges, ids.select("feature", "frequency"))
     return edges, nodes
 

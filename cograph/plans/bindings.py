@@ -67,7 +67,7 @@ def words_graph(spark, d) -> tuple[DataFrame, DataFrame]:
         # contexts are written once (the feature-set cache) and scanned three times by the graph
         ctx = cut_lineage(word_contexts(spark, d))
         e, n = G.build_graph(ctx, MIN_COOC, PHI)
-        return cut_lineage(e), cut_lineage(n)
+        return e, cut_lineage(n)  # the edges are written already
 
     return _cached(spark, d, "words_graph", build)
 
@@ -83,7 +83,7 @@ def corpus_graph(spark, d, which: str) -> tuple[DataFrame, DataFrame]:
             sel = C.keyword_filter(docs.filter(F.col("lang") != ANCHOR_LANG), KEYWORDS)
         ctx = cut_lineage(C.text_contexts(C.tokenize(sel), WINDOW).withColumn("ctx", F.struct("doc_id", "win")))
         e, n = G.build_graph(ctx, MIN_COOC, PHI)
-        return cut_lineage(e), cut_lineage(n)
+        return e, cut_lineage(n)  # the edges are written already
 
     return _cached(spark, d, f"corpus_graph_{which}", build)
 
@@ -118,7 +118,7 @@ def brand_contexts(spark, d) -> DataFrame:
 def brands_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     def build():
         e, n = G.build_graph(brand_contexts(spark, d), MIN_COOC, PHI)
-        return cut_lineage(e), cut_lineage(n)
+        return e, cut_lineage(n)  # the edges are written already
 
     return _cached(spark, d, "brands_graph", build)
 

@@ -5,8 +5,11 @@ On a cluster the session is built by the caller; the library only reads its sett
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,17 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's code to the Python workers (as ``--py-files`` does), once for each version of it."""
+    top = Path(__file__).resolve().parent
+    files = {p: p.read_bytes() for p in sorted(top.rglob("*.py"))}
+    name = f"{top.name}-{hashlib.sha256(b''.join(files.values())).hexdigest()[:12]}.zip"
+    if name in {Path(f).name for f in spark.sparkContext.listFiles}:
+        return
+    to = Path(tempfile.mkdtemp()) / name  # only read by the driver, which serves it to the executors
+    with zipfile.ZipFile(to, "w") as z:
+        for p, data in files.items():
+            z.writestr(str(p.relative_to(top.parent)), data)
+    spark.sparkContext.addPyFile(str(to))
