@@ -163,11 +163,14 @@ def top_communities(communities: DataFrame, k: int = 5) -> DataFrame:
     return community_sizes(communities).orderBy(F.col("size").desc(), F.col("community").asc()).limit(k)
 
 
-def central_nodes(edges: DataFrame, communities: DataFrame, k_comm: int = 5, k_nodes: int = 5) -> DataFrame:
-    """Per top community, the top nodes by weighted degree inside the community subgraph."""
+def central_nodes(edges: DataFrame, communities: DataFrame, k_comm: int = 5, k_nodes: int = 5, places: int | None = None) -> DataFrame:
+    """Per top community, the top nodes by weighted degree inside the community subgraph (ties: smaller id).
+    ``places``: degrees are rounded first, so that ranks do not hang on the order of sums."""
     top = top_communities(communities, k_comm).select("community")
     members = communities.join(top, "community", "left_semi")
     deg = weighted_degree(edges, members).join(members, "id")
+    if places is not None:
+        deg = deg.withColumn("weighted_degree", F.round("weighted_degree", places))
     ranked = top_k_per_group(deg, "community", "weighted_degree", k_nodes, tie="id")
     return ranked.select("community", "id", "weighted_degree", "rank")
 

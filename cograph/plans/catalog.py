@@ -107,7 +107,9 @@ def read_corpus(spark, d):
 
 @q("read_corpus_dir", "SELECT doc_id, source, n_chars FROM documents")
 def read_corpus_dir(spark, d):
-    return io.read_corpus(spark, f"{d}/documents*.parquet").select("doc_id", "source", "n_chars")
+    path = _scratch(spark, "corpus")
+    table(spark, d, "documents").repartition(4).write.parquet(path)  # a directory of several files
+    return io.read_corpus(spark, path).select("doc_id", "source", "n_chars")
 
 
 @q("read_table", "SELECT * FROM part")
@@ -565,10 +567,7 @@ def top_communities(spark, d):
 def central_nodes(spark, d):
     e, n = B.words_graph(spark, d)
     comm = B.first_letter_partition(n)
-    top = CM.top_communities(comm, 5).select("community")
-    members = comm.join(top, "community", "left_semi")
-    deg = G.weighted_degree(e, members).join(members, "id").withColumn("weighted_degree", r9(F.col("weighted_degree")))
-    return top_k_per_group(deg, "community", "weighted_degree", 5, tie="id").select("community", "id", "weighted_degree", "rank")
+    return CM.central_nodes(e, comm, 5, 5, places=9)
 
 
 @q(
