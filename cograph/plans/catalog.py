@@ -8,6 +8,7 @@ operations in the same order and are compared unrounded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import graph as G
 from ..operators import splits as S
 from ..operators.topk import top_k_per_group
 from ..session import checkpoint_dir
-from ..sources import io
+from ..sources import gexf, io
 from . import bindings as B
 from .bindings import table
 
@@ -172,6 +173,25 @@ def graph_roundtrip(spark, d):
     return io.read_graph(spark, root, "anchor")[1]
 
 
+def once(sql: str) -> str:
+    """The same SQL with every CTE computed once."""
+    return re.sub(r"\b(\w+) AS \(\s*SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
+
+
+@q(
+    "graph_gexf",
+    f"""{once(WORDS_GRAPH)}
+    SELECT id, NULL AS other, frequency::DOUBLE AS value FROM nodes UNION ALL SELECT src, dst, round(weight, 9) FROM edges""",
+)
+def graph_gexf(spark, d):
+    """Nodes and edges of the whole word graph, through a GEXF document."""
+    path = f"{_scratch(spark, 'graph')}.gexf"
+    gexf.write_gexf(*B.words_graph(spark, d), path, "words")
+    e, n = gexf.read_gexf(spark, path)
+    nodes = n.select("id", F.lit(None).cast("string").alias("other"), F.col("frequency").cast("double").alias("value"))
+    return nodes.unionByName(e.select(F.col("src").alias("id"), F.col("dst").alias("other"), r9(F.col("weight")).alias("value")))
+
+
 @q("cast_edge_weights", f"{ANCHOR_GRAPH} SELECT src, dst, round(weight::FLOAT::DOUBLE, 5) AS weight FROM edges")
 def cast_edge_weights(spark, d):
     e, n = B.corpus_graph(spark, d, "anchor")
