@@ -2,8 +2,8 @@
 
 A graph is one GEXF document in a folder of part files, in order: the parts one after another (``cat part-*``) are the
 document. Every element stands on a line of its own, so each task writes its range of nodes or edges and no task
-holds a graph. Reading goes through Spark's XML source, which splits files at elements: a folder written here, one file
-or a folder of files of another tool are all read the same way.
+holds a graph. Reading goes through Spark's XML source, a file as a stream of elements: a folder written here is read by as many
+tasks as it has parts, a file of another tool by one, which deals its elements out as rows.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | N
         return None
 
     def elements(tag: str, schema: str) -> DataFrame:
-        options = {"rowTag": tag, "mode": "FAILFAST", "nullValue": "\u0001", "ignoreSurroundingSpaces": "false"}
+        options = {"rowTag": tag, "mode": "FAILFAST", "nullValue": "\u0001", "ignoreSurroundingSpaces": "false", "useLegacyXMLParser": "true"}  # a part is no document of its own
         return spark.read.format("xml").options(**options).schema(schema).load(path)
 
     # one declaration a row: the parts of a folder may be cut between them
