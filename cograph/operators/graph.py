@@ -8,28 +8,32 @@ Plan at scale
 * frequency n_i: explode + partial/final hash aggregate (hot features are combined map-side);
 * lossless prefilters before any pair is formed: n_i >= min_cooc (since n_ij <= min(n_i, n_j))
   and n_i < N (zero denominator, never an edge);
-* the kept-feature table is a written one, so Spark knows its bytes and broadcasts it only under
-  ``spark.sql.autoBroadcastJoinThreshold``; else a shuffle join, which AQE splits when one feature is hot;
-* pairs are formed inside each context from its sorted feature array (``posexplode`` +
-  ``slice``), so only the upper triangle i < j is produced, and a phi upper bound computed
-  from (n_i, n_j) drops hopeless pairs *before* the pair shuffle;
-* n_ij: partial/final hash aggregate on (i, j).
+* contexts become sorted arrays of feature numbers inside the tasks, which get the hashes of the kept features (up to
+  ``KNOWN_FEATURES``; beyond, a join numbers them), so no occurrence of a feature is shuffled;
+* pairs are formed and counted inside the tasks, the upper triangle i < j only; a phi upper bound computed from
+  (n_i, n_j) drops hopeless pairs; counted chunks are shuffled as packed ranges of pairs (``pairs``);
+* n_ij: one task adds up a range of pairs and gives back those with n_ij >= min_cooc.
 Contexts must be bounded (the text source windows long documents) so a context emits at most
 k(k-1)/2 pair rows for its k kept features.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
+from . import pairs as P
 
 # Defaults of the reference configuration (fixed values).
 MIN_COOCCURRENCE = 5
 PHI_THRESHOLD = 0.05
 # Margin that keeps the phi upper-bound prefilter strictly lossless under float rounding.
 _BOUND_MARGIN = 1e-9
+KNOWN_FEATURES = 4_000_000  # kept features (20 bytes each) that are sent to the tasks; beyond, contexts are numbered by a join
+SAMPLED_CONTEXTS = 4_000  # contexts that set the ranges of pairs; any ranges give the same counts
+_HASHED = ("string", "byte", "short", "integer", "long")  # types whose equal values have equal hashes
 
 
 def long_form(contexts: DataFrame, ctx: str = "ctx", features: str = "features") -> DataFrame:
@@ -62,14 +66,6 @@ def _phi(n_ij: Column, n_i: Column, n_j: Column, n: float) -> Column:
     return num / (d_i * d_j)
 
 
-def _phi_bound(n_i: Column, n_j: Column, n: float) -> Column:
-    """Largest phi any pair with these marginals can reach (at n_ij = min(n_i, n_j))."""
-    lo = F.least(n_i, n_j).cast("double")
-    hi = F.greatest(n_i, n_j).cast("double")
-    nn = F.lit(float(n))
-    return F.sqrt(lo * (nn - hi) / (hi * (nn - lo)))
-
-
 def cooccurrence_pairs(
     contexts: DataFrame,
     min_count: int = 1,
@@ -96,23 +92,63 @@ def _feature_ids(kept: DataFrame) -> DataFrame:
     return global_index(kept.select("feature", "frequency"), "feature", "fid").withColumn("fid", F.col("fid").cast("int"))
 
 
+def _sets(contexts: DataFrame, ids: DataFrame, ctx: str, features: str) -> tuple[DataFrame, tuple | None]:
+    """The kept features of every context, and what is needed to number them.
+
+    Up to ``KNOWN_FEATURES`` kept features: (key, h), the hashes of all features of a context, with the sorted hashes of
+    the kept ones, their ids and frequencies, which go to the tasks; beyond, or if a feature's hash does not
+    tell it apart: (key, fids, ns) by a join. Rows that repeat a context key are one context that has their features.
+    """
+    key = F.xxhash64(F.col(ctx)).alias("key")
+    kind = contexts.schema[features].dataType.elementType.typeName()
+    if kind in _HASHED and (n := ids.count()) <= KNOWN_FEATURES:
+        got = ids.where("feature IS NOT NULL").select(F.xxhash64("feature").alias("h"), "fid", "frequency").toArrow()
+        h, fid, frequency = (got[c].to_numpy() for c in ("h", "fid", "frequency"))
+        order = np.argsort(h)
+        h, fid, frequency = h[order], fid[order], frequency[order]
+        if (h[1:] != h[:-1]).all():
+            hashes = F.transform(F.filter(F.array_distinct(F.col(features)), lambda x: x.isNotNull()), lambda x: F.xxhash64(x))
+            rows = contexts.where(F.col(features).isNotNull()).select(key, F.col(ctx).alias("ctx"), hashes.alias("h"))
+            # few keys, as a rule none, repeat; equal hashes of different keys only send rows to the grouping
+            twice = cut_lineage(contexts.select(key).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+            if twice.isEmpty():
+                return rows.select("key", "h"), (h, fid, frequency)
+            grouped = rows.join(twice, "key", "left_semi").groupBy("key", "ctx").agg(F.flatten(F.collect_list("h")).alias("h"))
+            return rows.join(twice, "key", "left_anti").select("key", "h").unionByName(grouped.select("key", "h")), (h, fid, frequency)
+    lf = long_form(contexts, ctx, features).join(ids.select("feature", "fid", "frequency"), "feature")
+    rows = lf.groupBy("ctx").agg(F.collect_list("fid").alias("fids"), F.collect_list("frequency").alias("ns"))
+    return cut_lineage(rows.select(F.xxhash64("ctx").alias("key"), "fids", "ns")), None
+
+
 def _pairs(contexts, ids, ctx, features, n_contexts, phi_threshold, min_count) -> DataFrame:
     """(fi, fj, n_ij) over int ids; ``ids`` is (feature, frequency, fid)."""
-    lf = long_form(contexts, ctx, features).join(ids.select("feature", "fid", "frequency"), "feature")
-    per_ctx = lf.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("fid", "frequency"))).alias("fs"))
-    per_ctx = per_ctx.filter(F.size("fs") >= 2)
-    left = per_ctx.select("fs", F.posexplode("fs").alias("p", "a"))
-    pairs = left.select(F.col("a"), F.explode(F.slice("fs", F.col("p") + 2, F.size("fs"))).alias("b"))
-    pairs = pairs.select(
-        F.col("a.fid").alias("fi"),
-        F.col("b.fid").alias("fj"),
-        F.col("a.frequency").alias("n_i"),
-        F.col("b.frequency").alias("n_j"),
-    )
-    if phi_threshold is not None and n_contexts is not None and phi_threshold >= 0:
-        pairs = pairs.filter(_phi_bound(F.col("n_i"), F.col("n_j"), n_contexts) > F.lit(phi_threshold - _BOUND_MARGIN))
-    counted = pairs.groupBy("fi", "fj").agg(F.count(F.lit(1)).alias("n_ij"))
-    return counted.filter(F.col("n_ij") >= min_count)
+    spark = contexts.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # blocks are long rows
+    sets, known = _sets(contexts, ids, ctx, features)
+    columns, size = sets.columns[1:], max(ids.count(), 1)
+    n, least = n_contexts, None
+    if phi_threshold is not None and n is not None and phi_threshold >= 0:
+        least = phi_threshold - _BOUND_MARGIN
+
+    def hopeful(n_i, n_j):
+        """Pairs whose largest possible phi, that at n_ij = min(n_i, n_j), is above the threshold."""
+        if least is None:
+            return np.ones(np.shape(n_j), bool)
+        lo, hi = np.minimum(n_i, n_j).astype(float), np.maximum(n_i, n_j).astype(float)
+        return np.sqrt(lo * (n - hi) / (hi * (n - lo))) > least
+
+    rows = contexts.count() if n is None else n
+    every = max(1, rows // SAMPLED_CONTEXTS)
+    sample = sets.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select(*columns).toArrow().combine_chunks()
+    total, some = (0.0, np.zeros(0, np.int64))
+    if sample.num_rows:
+        total, some = P.sampled(sample.to_batches()[0], known, size, hopeful)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(shuffled, int(total * every) >> 18), int(total * every) // P.MERGED)
+    cuts = np.unique(some[np.arange(1, parts) * len(some) // parts]) if len(some) else some
+    blocks = sets.select(*columns).mapInArrow(P.sender(known and spark.sparkContext.broadcast(known), size, cuts, hopeful), "part int, block binary")
+    return blocks.repartitionById(len(cuts) + 1, F.col("part")).mapInArrow(P.merger(size, min_count), "fi int, fj int, n_ij bigint")
 
 
 def _decode(counted: DataFrame, ids: DataFrame) -> DataFrame:

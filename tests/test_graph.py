@@ -119,3 +119,68 @@ def test_empty_graph_analysis(spark):
     e = spark.createDataFrame([], "src int, dst int, weight double")
     row = CM.analyze_graph(e, "empty").first()
     assert (row.edges, row.modularity, row.num_communities) == (0, 0.0, 0)
+
+
+# ---------------------------------------------------------------- pairs counted inside the tasks
+def _brute(rows, low):
+    from collections import Counter
+
+    found = Counter()
+    for fs in rows:
+        fs = sorted(fs)
+        found.update((a, b) for i, a in enumerate(fs) for b in fs[i + 1 :])
+    return {p: n for p, n in found.items() if n >= low}
+
+
+def test_pairs_are_shuffled_as_blocks(spark):
+    rows = [(i, [f"w{(i * k) % 37}" for k in range(1, 12)]) for i in range(400)]
+    ctx = spark.createDataFrame(rows, "ctx long, features array<string>")
+    pairs = G.cooccurrence_pairs(ctx, 3)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "hashpartitioning(fi" not in plan and "block" in plan
+    want = _brute([set(fs) for _, fs in rows], 3)
+    assert {(r.i, r.j): r.n_ij for r in pairs.collect()} == want
+
+
+def test_more_features_than_tasks_are_sent_and_repeated_contexts(spark, monkeypatch):
+    rows = [(i % 90, [(i * k) % 23 if k % 9 else None for k in range(1, 12)]) for i in range(120)] + [(None, [1, 2]), (None, [2, 3]), (200, None), (201, [])]
+    ctx = spark.createDataFrame(rows, "ctx long, features array<int>")
+    groups = {}
+    for key, fs in rows:
+        groups.setdefault(key, []).extend(set(fs or []) - {None})
+    want = _brute(groups.values(), 1)
+    for most in (G.KNOWN_FEATURES, 0):
+        monkeypatch.setattr(G, "KNOWN_FEATURES", most)
+        assert {(r.i, r.j): r.n_ij for r in G.cooccurrence_pairs(ctx).collect()} == want
+
+
+def test_blocks_hold_every_pair(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from cograph.operators import pairs as P
+
+    for name, value in (("CHUNK", 500), ("SLAB", 64), ("MERGED", 300), ("WIDE", 20), ("ROWS", 50)):
+        monkeypatch.setattr(P, name, value)
+    rng = np.random.default_rng(1)
+    rows = [sorted(rng.choice(60, rng.integers(0, 40), replace=False).tolist()) for _ in range(80)]
+    batch = pa.record_batch([pa.array(rows, pa.list_(pa.int32())), pa.array([[5] * len(r) for r in rows], pa.list_(pa.int64()))], names=["fids", "ns"])
+    cuts = np.array([700, 1500, 2600])
+    sent = [b for part in (batch.slice(0, 30), batch.slice(30)) for b in P.sender(None, 60, cuts, lambda a, b: np.ones(np.shape(b), bool))(iter([part]))]
+    got = {}
+    for part in range(4):
+        blocks = [pa.record_batch([b.column(0).filter(pa.compute.equal(b.column(0), part)), b.column(1).filter(pa.compute.equal(b.column(0), part))], names=["part", "block"]) for b in sent]
+        for out in P.merger(60, 2)(iter(blocks)):
+            got.update({(r["fi"], r["fj"]): r["n_ij"] for r in out.to_pylist()})
+    assert got == _brute(rows, 2)
+
+
+def test_counts_beyond_an_entry():
+    import numpy as np
+
+    from cograph.operators import pairs as P
+
+    p, n = np.array([3, 9, 2**50]), np.array([1, 100_000, 4095])
+    assert [x.tolist() for x in P.unpack(P.pack(p, n))] == [p.tolist(), n.tolist()]
+    assert [x.tolist() for x in P.add_up(P.entries(p, n, 12), 12)] == [p.tolist(), n.tolist()]
+    assert P.count_bits(2**31) == 1 and P.count_bits(10) == 12
