@@ -221,9 +221,17 @@ def locate_target(tokens: DataFrame, target: str | None = None, seq: str = "seq"
     return tokens.groupBy(*_keys(seq)).agg(F.coalesce(F.min(hit), F.max(pos)).alias("target_pos"))
 
 
-def last_token_vector(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vector: str = "vector") -> DataFrame:
-    """The vector of the final position of each sequence."""
-    return tokens.groupBy(*_keys(seq)).agg(F.max_by(F.col(vector), F.col(pos)).alias(vector))
+def last_token_vector(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vector: str = "vector", vectors: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
+    """The vector of the final position of each sequence.
+
+    With ``vectors`` (key, vector) the tokens carry the key of their vector: the final position is chosen by numbers, only
+    chosen rows meet the vectors. A key that repeats stands for one of its vectors; a token's key must be among them.
+    """
+    if vectors is None:
+        return tokens.groupBy(*_keys(seq)).agg(F.max_by(F.col(vector), F.col(pos)).alias(vector))
+    last = tokens.groupBy(*_keys(seq)).agg(F.max(F.struct(pos, key)).alias("last")).select(*_keys(seq), F.col(f"last.{key}").alias(key))
+    one = vectors.groupBy(key).agg(F.any_value(vector).alias(vector))
+    return last.join(one, key).select(*_keys(seq), vector)
 
 
 def vector_at(tokens: DataFrame, located: DataFrame, seq: str = "seq", pos: str = "pos") -> DataFrame:
@@ -238,9 +246,13 @@ def probe_top_features(
     k: int = 3,
     seq: str = "seq",
     vector: str = "vector",
+    vectors: DataFrame | None = None,
+    key: str = "vec_id",
 ) -> DataFrame:
-    """The k strongest (unthresholded) activations at the located token; rank 1..k."""
+    """The k strongest (unthresholded) activations at the located token; rank 1..k. ``vectors``: as in W8."""
     at = vector_at(tokens, locate_target(tokens, target, seq), seq)
+    if vectors is not None:
+        at = at.join(vectors, key)
     acts = encode_features(at, dictionary, [*_keys(seq), "token"], vector, threshold=None)
     return top_k_per_group(acts, _keys(seq), "act", k, tie="feature")
 

@@ -225,7 +225,10 @@ def conversation_tokens(spark, d) -> DataFrame:
     return conv.select("conv_id", "turn", F.posexplode(C.words("text")).alias("pos", "token"))
 
 
-def token_vectors(spark, d) -> DataFrame:
-    n = table(spark, d, "embeddings").count()
+def token_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(tokens with the id of their vector, vectors by id); tokens without a vector are left out."""
+    vectors = embeddings(spark, d).select("vec_id", "vector")
+    n = vectors.count()
     toks = conversation_tokens(spark, d).withColumn("vec_id", F.pmod(token_hash(F.col("token")), F.lit(n)))
-    return toks.join(embeddings(spark, d).select("vec_id", "vector"), "vec_id").drop("vec_id")
+    known = vectors.select("vec_id").where(F.col("vec_id").between(0, n - 1)).distinct()
+    return (toks if known.count() == n else toks.join(known, "vec_id", "left_semi")), vectors

@@ -124,3 +124,14 @@ def test_text_windows_cover_whole_text(spark):
     df = spark.createDataFrame([(0, ["a"] * 70), (1, [])], "doc_id bigint, ids array<string>")
     w = C.text_contexts(df, 32).collect()
     assert sorted((r.doc_id, r.win) for r in w) == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_last_vectors_are_joined_after_the_choice(spark):
+    tokens = spark.createDataFrame([(1, 0, "a", 7), (1, 1, "b", 8), (2, 0, "c", 7), (None, 3, "d", 9)], "seq long, pos int, token string, vec_id long")
+    vectors = spark.createDataFrame([(7, [1.0]), (8, [2.0]), (9, None), (9, None), (5, [4.0])], "vec_id long, vector array<double>")
+    got = D.last_token_vector(tokens, "seq", vectors=vectors)
+    want = D.last_token_vector(tokens.join(vectors, "vec_id"), "seq")
+    key = lambda r: str(r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # the choice is made below the join
