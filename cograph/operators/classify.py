@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .order import before_key, hash_cutoffs
 
 SEED = 42  # fixed value: the reference's seed
@@ -98,17 +98,26 @@ def svm_linear(train: DataFrame, test: DataFrame, z: str = "z"):
     return model.transform(tr), model.transform(te)
 
 
+def _by_slabs(rows: pa.ListArray, d: int, n_features: int, features, slab: int = 256) -> pa.ListArray:
+    """``features`` of the rows (of ``d`` numbers each), a slab at a time, in one array that holds the result and no row objects."""
+    if rows.null_count or (np.diff(rows.offsets.to_numpy()) != d).any():
+        raise ValueError(f"every row needs {d} numbers")
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+    out = np.empty((len(x), n_features))
+    for i in range(0, len(x), slab):
+        out[i : i + slab] = features(x[i : i + slab])
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * n_features, pa.array(out.ravel()))
+
+
 def _rff_udf(d: int, n_features: int, gamma: float, seed: int):
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(d, n_features))
     b = rng.uniform(0.0, 2.0 * math.pi, size=n_features)
     scale = math.sqrt(2.0 / n_features)
 
-    @F.pandas_udf("array<double>")
-    def rff(col: pd.Series) -> pd.Series:
-        x = np.stack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_list()) if len(col) else np.zeros((0, d))
-        z = scale * np.cos(x @ w + b)
-        return pd.Series(list(z))
+    @F.arrow_udf("array<double>")
+    def rff(col: pa.Array) -> pa.Array:
+        return _by_slabs(col, d, n_features, lambda x: scale * np.cos(x @ w + b))
 
     return rff
 
@@ -118,6 +127,7 @@ def svm_rbf(train: DataFrame, test: DataFrame, z: str = "z", n_features: int = 5
     d = len(train.select(z).first()[0])
     var = train.select(F.explode(z).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
     gamma = 1.0 / (d * var) if var > 0 else 1.0
+    ship_package(train.sparkSession)
     rff = _rff_udf(d, n_features, gamma, seed)
     tr = train.withColumn("f", array_to_vector(rff(F.col(z))))
     te = test.withColumn("f", array_to_vector(rff(F.col(z))))
@@ -130,10 +140,9 @@ def _cubic_udf(d: int, n_features: int, gamma: float, seed: int):
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(3, d, n_features))
     scale = gamma**1.5 / math.sqrt(n_features)
 
-    @F.pandas_udf("array<double>")
-    def cubic(col: pd.Series) -> pd.Series:
-        x = np.stack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_list()) if len(col) else np.zeros((0, d))
-        return pd.Series(list(scale * (x @ signs[0]) * (x @ signs[1]) * (x @ signs[2])))
+    @F.arrow_udf("array<double>")
+    def cubic(col: pa.Array) -> pa.Array:
+        return _by_slabs(col, d, n_features, lambda x: scale * (x @ signs[0]) * (x @ signs[1]) * (x @ signs[2]))
 
     return cubic
 
@@ -143,6 +152,7 @@ def svm_poly(train: DataFrame, test: DataFrame, z: str = "z", n_features: int =
     the error of a kernel value falls with the square root of ``n_features``."""
     d = len(train.select(z).first()[0])
     var = train.select(F.explode(z).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+    ship_package(train.sparkSession)
     cubic = _cubic_udf(d, n_features, 1.0 / (d * var) if var > 0 else 1.0, seed)
     tr = train.withColumn("f", array_to_vector(cubic(F.col(z))))
     te = test.withColumn("f", array_to_vector(cubic(F.col(z))))

@@ -109,7 +109,8 @@ def read_corpus(spark, d):
 @q("read_corpus_dir", "SELECT doc_id, source, n_chars FROM documents")
 def read_corpus_dir(spark, d):
     path = _scratch(spark, "corpus")
-    table(spark, d, "documents").repartition(4).write.parquet(path)  # a directory of several files
+    docs = table(spark, d, "documents")
+    docs.repartition(max(4, docs.rdd.getNumPartitions())).write.parquet(path)  # a directory of several files
     return io.read_corpus(spark, path).select("doc_id", "source", "n_chars")
 
 
@@ -786,7 +787,8 @@ def locate_target(spark, d):
     JOIN embeddings e USING (vec_id)""",
 )
 def last_token_vector(spark, d):
-    return D.last_token_vector(B.token_vectors(spark, d), ["conv_id", "turn"])
+    tokens, vectors = B.token_vectors(spark, d)
+    return D.last_token_vector(tokens, ["conv_id", "turn"], vectors=vectors)
 
 
 @q(
@@ -798,7 +800,8 @@ def last_token_vector(spark, d):
     SELECT conv_id, turn, feature, round(act, 9) AS act, rank::INT AS rank FROM rk WHERE rank <= 3""",
 )
 def probe_top_features(spark, d):
-    p = D.probe_top_features(B.token_vectors(spark, d), B.dictionary(spark, d), B.PROBE_TARGET, 3, ["conv_id", "turn"])
+    tokens, vectors = B.token_vectors(spark, d)
+    p = D.probe_top_features(tokens, B.dictionary(spark, d), B.PROBE_TARGET, 3, ["conv_id", "turn"], vectors=vectors)
     return p.select("conv_id", "turn", "feature", r9(F.col("act")).alias("act"), "rank")
 
 

@@ -111,3 +111,35 @@ def test_read_dictionary_of_any_size(spark, monkeypatch):
     load = dictionary.load_dictionary
     monkeypatch.setattr(io, "load_dictionary", lambda table, b_dec=None: load(table, b_dec, broadcast_cells=0))
     assert sorted(map(tuple, catalog.QUERIES["read_dictionary"](spark, d).collect())) == want and want
+
+
+def test_kernel_features_hold_one_slab(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(4000, 8))
+    rows = pa.array(x.tolist(), pa.list_(pa.float64()))
+    for udf, n in ((classify._cubic_udf(8, 1024, 0.1, 1), 1024), (classify._rff_udf(8, 512, 0.1, 1), 512)):
+        tracemalloc.start()
+        out = udf.func(rows.slice(1))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 3999 and len(out[0]) == n
+        assert peak < 1.5 * 8 * n * 4000  # the result and a slab
+    with pytest.raises(ValueError):
+        udf.func(pa.array([[1.0]], pa.list_(pa.float64())))
+
+
+def test_corpus_directory_has_a_file_for_every_partition_of_the_input(spark, tmp_path):
+    from cograph.plans import catalog
+
+    spark.range(60).selectExpr("id AS doc_id", "'a' AS source", "id AS n_chars", "'t' AS text", "'de' AS lang").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+    try:
+        out = catalog.QUERIES["read_corpus_dir"](spark, str(tmp_path))
+        assert out.count() == 60 and len(out.inputFiles()) >= 9
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
