@@ -72,8 +72,10 @@ class _Adjacency:
 
     @classmethod
     def write(cls, sym: DataFrame, edges: int, per_part: int) -> _Adjacency:
-        """``edges``: number of rows of ``sym``, or a bound."""
+        """``edges``: number of rows of ``sym``, or a bound; the rows written say how many directories there are (a
+        graph of loops has none, and directories without a row could not be read again)."""
         sym = _few(sym, edges)
+        edges = sym.count()
         parts = -(-edges // per_part)
         if parts < 2:
             return cls(sym, 1, edges)

@@ -92,6 +92,13 @@ def test_louvain_reads_directories_of_active_nodes(spark):
     assert adj.parts == 10 and near.where("id = 7").count() == 1 and near.count() < 60
 
 
+def test_louvain_on_cliques_with_directories(spark):
+    """Contracted cliques leave a graph of loops: no edges between nodes, so no directory is written."""
+    edges = [(2 * c, 2 * c + 1, 1.0) for c in range(6)]
+    res = louvain.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"), threshold=0.0, edges_per_part=6)
+    assert sorted((r.id, r.community) for r in res.communities.collect()) == [(v, v - v % 2) for v in range(12)] and res.converged
+
+
 def test_refinement_splits_a_community_that_is_not_connected(spark):
     """Two triangles in one community without an edge between them become two parts."""
     pairs = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]
