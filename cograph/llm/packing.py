@@ -24,6 +24,10 @@ from .common import before, ship
 
 # Fixed value: the splitting pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same without a look ahead, which is matched twice as fast. It differs only in a run of white space before a word: the
+#: run's last character goes with the word or stands alone. So texts are cut there, before that character.
+PLAIN = PATTERN.replace(r"\s+(?!\S)|", "")
+_RUN = re.compile(r"\s(?=\s\S)")
 #: Characters on whose class all libraries agree; texts with others go to the tokenizer itself.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
 
@@ -39,7 +43,7 @@ def _byte_of() -> dict[str, int]:
 def _encoder(path: str, specials_are_text: bool = False):
     """Text -> its ids as little-endian bytes, as the tokenizer's own call gives them: a special token's string in a text
     is that token, or ordinary text with ``specials_are_text``. Both libraries give the same ids from the same
-    vocabulary; the one that reads it as ranks is four times as fast and takes all texts of well-known characters."""
+    vocabulary; the one that reads it as ranks is several times as fast and takes all texts of well-known characters."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -49,14 +53,19 @@ def _encoder(path: str, specials_are_text: bool = False):
         model = json.load(f)
     byte_of, special = _byte_of(), {t["content"] for t in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("ranks", pat_str=PLAIN, mergeable_ranks=ranks, special_tokens={})
 
     tokens = [] if specials_are_text else sorted(special)
 
     def encode(text: str) -> bytes:
-        slow = any(token in text for token in tokens) or _OTHER.search(text)
-        ids = tokenizer.encode(text, add_special_tokens=False).ids if slow else fast.encode_ordinary(text)
-        return array("I", ids).tobytes()
+        if any(token in text for token in tokens) or _OTHER.search(text):
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        ids, at = array("I"), 0
+        for end in [m.end() for m in _RUN.finditer(text)]:
+            ids.extend(fast.encode_ordinary(text[at:end]))
+            at = end
+        ids.extend(fast.encode_ordinary(text[at:]))
+        return ids.tobytes()
 
     return encode
 

@@ -267,6 +267,19 @@ def test_directory_splits_overfull_buckets(spark):
     assert all(len(v) <= 4 for v in load.values()) and d[d.pointer == 5].bits.iloc[0] == 16
 
 
+def test_packing_ids_without_look_ahead():
+    """Runs of white space are cut as the look ahead would: their last character goes with the word."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    assert "(?!" not in packing.PLAIN
+    tokenizer, encode, rng = Tokenizer.from_file(TOKENIZER), packing._encoder(TOKENIZER), random.Random(8)
+    texts = ["".join(rng.choices("ab's  \n\n\t\r.,!01\u00e9\u00b2_", k=rng.randrange(1, 30))) for _ in range(3000)]
+    for text in [" ", "  ", "\n\nA", "a \n  b", "   'll  ", *texts]:
+        assert np.frombuffer(encode(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_round_trip(spark, awkward, empty):
     from tokenizers import Tokenizer
 
