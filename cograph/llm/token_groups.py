@@ -10,7 +10,8 @@ with all tokens in one order (rare before frequent, then by hash) two sets of Ja
 token among the first n - ceil(t n) + 1 of each. So a token of one group alone opens nothing; a token in
 several groups opens those whose bounds allow it: a query of n shingles whose first match is at position p
 overlaps a member of m shingles in at most min(n - p, m - q), and in at most its matches plus what follows the
-prefixes; that must reach t / (1 + t) (n + m). Opened pairs are compared exactly.
+prefixes; that must reach t / (1 + t) (n + m). Of an opened pair only the sketches travel at first, a bit or two a shingle,
+whose differing bits are a lower bound of the shingles that one set has alone; what they allow is compared exactly.
 This is not the token-group method's last step: a query's matches are not counted against a group's union to choose the
 groups that are opened; the matrix only drops tokens of one group and chooses pairs in the merging rounds, and then rows of
 different groups under one token are joined, positions and sizes permitting, which is quadratic in the rows of a token
@@ -85,19 +86,49 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens over about a bit a token, a power of two of 64-bit words."""
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, the longer one folded to the shorter: at most as many as
+    there are tokens of one of the two sets alone."""
+    out = np.zeros(len(x), np.int64)
+    values, starts = zip(*((v.flatten().to_numpy(), np.cumsum(v.value_lengths().to_numpy()) - v.value_lengths().to_numpy()) for v in (x, y)), strict=True)
+    sizes = np.stack([x.value_lengths().to_numpy(), y.value_lengths().to_numpy()])
+    for pair in np.unique(sizes, axis=1).T:
+        at = np.flatnonzero((sizes == pair[:, None]).all(axis=0))
+        folded = [np.bitwise_xor.reduce(values[i][starts[i][at][:, None] + np.arange(pair[i])].reshape(len(at), -1, pair.min()), axis=1) for i in (0, 1)]
+        out[at] = np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum(axis=1)
+    return out
+
+
+def _apart():
+    @F.arrow_udf("bigint")
+    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(differing(x, y))
+
+    return apart
+
+
 def _signatures(spark, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
     shared = spark.sparkContext.broadcast(frequent)
-    kind = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    lists = ("keys", "prefix", "sketch")
+    kind = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), *((c, pa.list_(pa.int64())) for c in lists)])
 
-    @F.arrow_udf("struct<n:bigint, s1:bigint, s2:bigint, keys:array<bigint>, prefix:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint, s1:bigint, s2:bigint, keys:array<bigint>, prefix:array<bigint>, sketch:array<bigint>>")
     def signatures(texts: pa.Array) -> pa.Array:
         tokens, often = shared.value
-        n, s1, s2, keys, prefix = [], [], [], [], []
+        n, s1, s2, keys, prefix, sketches = [], [], [], [], [], []
         for _, s in shingle_sets(texts, width):
             n.append(len(s))
             if not len(s):
-                s1.append(0), s2.append(0), keys.append(None), prefix.append(None)
+                s1.append(0), s2.append(0), keys.append(None), prefix.append(None), sketches.append(None)
                 continue
+            sketches.append(sketch(s))
             a = mix(s ^ np.uint64(0xA0761D6478BD642F))
             s1.append(int(a.sum().view(np.int64)))
             s2.append(int(np.bitwise_xor.reduce(mix(a)).view(np.int64)))
@@ -109,8 +140,7 @@ def _signatures(spark, width: int, percent: int, frequent: tuple[np.ndarray, np.
                 s = np.concatenate([s[~hit], heavy[np.lexsort((heavy, f))]])
             prefix.append(s[: prefix_length(len(s), percent)].view(np.int64))
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-            fields=list(kind))
+            [*(pa.array(v, pa.int64()) for v in (n, s1, s2)), *(pa.array(v, pa.list_(pa.int64())) for v in (keys, prefix, sketches))], fields=list(kind))
 
     return signatures
 
@@ -123,11 +153,9 @@ def _token_sets(width: int):
     return token_sets
 
 
-def reachable(common, n_x, n_y, percent: int):
-    """Can two sets of ``n_x`` and ``n_y`` tokens whose prefixes share ``common`` reach the similarity? All shared
-    tokens up to the end of the prefix that ends first are among the common ones; after it one set has its rest."""
-    rest = lambda n: F.ceil(F.lit(percent) * n / 100) - 1  # noqa: E731  n less its prefix
-    return (100 + percent) * (common + F.greatest(rest(n_x), rest(n_y))) >= percent * (n_x + n_y)
+def possible(n_x, n_y, apart, percent: int):
+    """Can two sets of ``n_x`` and ``n_y`` tokens, ``apart`` or more of which are in one set alone, reach the similarity?"""
+    return (100 - percent) * (n_x + n_y) >= (100 + percent) * apart
 
 
 def _linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -160,13 +188,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = marked.join(small(first), ["id", "n"])
 
     def screened(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and whole prefixes allow the similarity."""
+        """Pairs whose sizes and sketches allow the similarity."""
         pairs = cut_lineage(pairs)
         met = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         heads = reps.join(small(met), "id", "left_semi")
-        head = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
+        head = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
         both = small(pairs).join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return cut_lineage(both.where(reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct())
+        return cut_lineage(both.where(possible(F.col("na"), F.col("nb"), _apart()("sa", "sb"), percent)).select("a", "b").distinct())
 
     # groups: stars around the smallest and the largest row that share a min-hash
     repeated = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
