@@ -93,25 +93,17 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def differing(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
-    """Bits in which the sketches of each pair differ, the longer one folded to the shorter: at most as many as
-    there are tokens of one of the two sets alone."""
-    out = np.zeros(len(x), np.int64)
-    values, starts = zip(*((v.flatten().to_numpy(), np.cumsum(v.value_lengths().to_numpy()) - v.value_lengths().to_numpy()) for v in (x, y)), strict=True)
-    sizes = np.stack([x.value_lengths().to_numpy(), y.value_lengths().to_numpy()])
-    for pair in np.unique(sizes, axis=1).T:
-        at = np.flatnonzero((sizes == pair[:, None]).all(axis=0))
-        folded = [np.bitwise_xor.reduce(values[i][starts[i][at][:, None] + np.arange(pair[i])].reshape(len(at), -1, pair.min()), axis=1) for i in (0, 1)]
-        out[at] = np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum(axis=1)
-    return out
+def differing(x, y):
+    """Bits in which two sketches differ, the longer one folded to the shorter: at most as many as there are tokens
+    of one of the two sets alone."""
+    size = F.least(F.size(x), F.size(y))
 
+    def folded(v):
+        fold = lambda acc, k: F.zip_with(acc, F.slice(v, k * size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(v) == size, v).otherwise(F.aggregate(F.sequence(F.lit(1), (F.size(v) / size).cast("int") - 1), F.slice(v, F.lit(1), size), fold))
 
-def _apart():
-    @F.arrow_udf("bigint")
-    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(differing(x, y))
-
-    return apart
+    odd = F.zip_with(folded(F.col(x)), folded(F.col(y)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(odd, F.lit(0), lambda acc, n: acc + n)
 
 
 def _signatures(spark, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
@@ -194,7 +186,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = reps.join(small(met), "id", "left_semi")
         head = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
         both = small(pairs).join(head("a"), "a").join(head("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return cut_lineage(both.where(possible(F.col("na"), F.col("nb"), _apart()("sa", "sb"), percent)).select("a", "b").distinct())
+        return cut_lineage(both.where(possible(F.col("na"), F.col("nb"), differing("sa", "sb"), percent)).select("a", "b").distinct())
 
     # groups: stars around the smallest and the largest row that share a min-hash
     repeated = member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
