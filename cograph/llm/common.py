@@ -14,6 +14,8 @@ from ..session import cut_lineage
 
 #: Rows up to which a counted side may be broadcast (a row here is a few numbers: tens of MB).
 BROADCAST_ROWS = 1_000_000
+#: Edges up to which a round of ``components`` runs without shuffles, in one task (16 bytes an edge).
+FEW_EDGES = 100_000
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -83,20 +85,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star / small-star contraction: every round is two grouped minima (combined on
     the map side, so a hub is no hot key) and joins that adaptive execution may split. Each round is
-    written to the shared checkpoint folder; only a count and a checksum reach the driver.
+    written to the shared checkpoint folder; only a count and a checksum reach the driver. A round of ``FEW_EDGES``
+    edges or fewer is one task without shuffles: what the driver keeps of tasks and stages would outweigh them.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e, last = cut_lineage(e), None
     while True:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        dealt = (lambda d: d.coalesce(1)) if state[0] <= FEW_EDGES else (lambda d: d)
+        e = dealt(e)
         if state[0] == 0 or tuple(state) == last:
             break
         last = tuple(state)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut_lineage(rest.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-    roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+        e = cut_lineage(dealt(rest.unionByName(low.select("a", F.col("m").alias("b")))).distinct())
+    roots = dealt(e.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

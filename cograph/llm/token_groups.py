@@ -194,9 +194,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = keyed.groupBy("k", "key").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last")
     spokes = keyed.join(roots, ["k", "key"]).select("id", F.explode(F.array("root", "last")).alias("root")).where("id <> root")
     star = spokes.select(F.least("root", "id").alias("a"), F.greatest("root", "id").alias("b")).distinct()
-    links = cut_lineage(repeated.unionByName(_linked(texts, screened(star), width, percent)))
-    group = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "grp")
-    grouped = cut_lineage(first.join(group, "id", "left").select("id", "n", F.coalesce("grp", "id").alias("grp")))
+    group = cut_lineage(components(repeated.unionByName(_linked(texts, screened(star), width, percent))).toDF("id", "g"))
+    grouped = cut_lineage(first.join(group, "id", "left").select("id", "n", F.coalesce("g", "id").alias("grp")))
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """(id, g), the groups after the links among ``pairs``: a group's links to its smallest row stand for its earlier ones."""
+        links = _linked(texts, screened(pairs), width, percent)
+        return cut_lineage(components(group.toDF("a", "b").unionByName(links)).toDF("id", "g"))
 
     # token-group matrix over prefixes, one shuffle of all rows by token; only tokens in several groups go on
     def shared(rows: DataFrame) -> DataFrame:
@@ -211,8 +215,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = heads.groupBy("token").agg(F.max_by("id", F.struct("held", "grp")).alias("root"))
         met = heads.join(roots, "token").where("id <> root")
         met = met.select(F.least("root", "id").alias("a"), F.greatest("root", "id").alias("b")).distinct()
-        links = cut_lineage(links.unionByName(_linked(texts, screened(met), width, percent)))
-        group = cut_lineage(components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "g"))
+        group = merged(met)
         opened = shared(opened.join(small(group), "id", "left").withColumn("grp", F.coalesce("g", "id")))
 
     # the pairs of rows of different groups that are left
@@ -220,9 +223,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
     pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("grp_x") != F.col("grp_y"))
                    & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))))
-    pairs = screened(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
-    links = links.unionByName(_linked(texts, pairs, width, percent))
-    whole = components(links).select(F.col("node").alias("rep"), F.col("component"))
+    group = merged(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())
+    whole = group.toDF("rep", "component")
     classes = member.join(whole, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = marked.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(

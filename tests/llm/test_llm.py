@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cograph.llm import exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, token_groups, url_lists
+from cograph.llm import common, exact, extraction, language, lattice, mixing, packing, pu_quality, quotes, token_groups, url_lists
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, keep_id string"
@@ -315,6 +315,29 @@ def test_quality_sample_is_bounded_in_rows(spark, monkeypatch):
     assert seen == [(10, 20), (sum(i % 2 for i in outside), len(outside))]
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_components_of_few_edges_shuffle_once(spark, monkeypatch, few):
+    """A chain, a star, a cycle, loops, repeated and random edges; rounds of few edges plan no shuffle."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300), (100, 101), (101, 100)]
+    edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    low = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    plans, write = [], common.cut_lineage
+    monkeypatch.setattr(common, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or write(d))
+    if few is not None:
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+    found = common.components(spark.createDataFrame(edges, "a long, b long"))
+    got = found.collect()
+    assert len(got) == len(low) and {r.node: r.component for r in got} == low
+    assert len(plans) > 2 and "Exchange hashpartitioning" in plans[0]
+    assert [("Exchange hashpartitioning" in p) for p in plans[1:]] == [few == 0] * (len(plans) - 1)
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def brute_force_classes(rows):
     sets = {}
     for i, text in rows:
