@@ -21,6 +21,8 @@ any more, the next sweep starts again from single nodes in those communities; th
 
 State, (id, community, degree, weight of the community, active), goes to the session's checkpoint folder every round;
 the driver sees counts, sums and directory numbers.
+
+With threshold 0, where a component ends by itself, the rounds of small components are run inside tasks (``components``).
 """
 
 from __future__ import annotations
@@ -32,17 +34,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
+from . import components as K
+from .components import BUCKETS, CLASSES, SEED
 from .corpus import global_index
 from .graph import symmetrize
 from .modularity import degrees, modularity_value
 
-SEED = 42  # fixed value: the reference's seed
 SUM_BITS = 50  # bits of the sum of all weights
 EDGES_PER_PART = 2_000_000  # directed edges in one directory of the adjacency
+EDGES_PER_TASK = 200_000  # edges of a component that one task works on
 FILE_ROWS = 500_000  # rows of a file of state: small graphs do not pay for many tasks
-CLASSES = 40  # classes of gains (powers of two)
-BUCKETS = 32  # hash buckets of a class
 log = logging.getLogger(__name__)
 
 
@@ -192,7 +194,7 @@ def _contract(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return e.groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def louvain(edges: DataFrame, max_levels: int | None = None, max_rounds: int | None = None, min_gain: float = 1e-9, threshold: float = 1e-3, edges_per_part: int = EDGES_PER_PART) -> LouvainResult:
+def louvain(edges: DataFrame, max_levels: int | None = None, max_rounds: int | None = None, min_gain: float = 1e-9, threshold: float = 1e-3, edges_per_part: int = EDGES_PER_PART, edges_per_task: int = EDGES_PER_TASK) -> LouvainResult:
     """G1: communities of an undirected edge table (src, dst, weight > 0; loops and repeated edges allowed).
 
     A move must gain more than ``min_gain`` as a share of the node's degree. A level ends with a round that raises Q by less
@@ -201,20 +203,70 @@ def louvain(edges: DataFrame, max_levels: int | None = None, max_rounds: int | N
     (of all sweeps) and ``max_rounds`` (moves of a level) are unbounded by default; ``converged`` says whether they cut the run. The result does not depend on partitions; it is a valid partition of high Q into connected
     communities, not the one of a sequential implementation. No edges: no communities, Q = 0. Edges with a null end
     or weight, or a weight of 0 or less, are left out.
+
+    With threshold 0 and no such bounds, components of at most ``edges_per_task`` edges are run inside tasks, all their rounds
+    at once (0: none); ``trace`` holds them as one step, ``levels`` and ``rounds`` the most of any.
     """
     spark = edges.sparkSession
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    if threshold <= 0 and max_levels is None and max_rounds is None and edges_per_task > 0:
+        return _by_components(edges, min_gain, threshold, edges_per_part, edges_per_task)
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
     vid = cut_lineage(global_index(ends, "id", "vid"))
     total = edges.agg(F.sum("weight")).first()[0]
     if not total:
         return LouvainResult(spark.createDataFrame([], "id bigint, community bigint"), 0.0, 0, 0, 0)
-    unit = 2.0 ** (math.ceil(math.log2(total)) - SUM_BITS)
     s, d = (vid.select(F.col("id").alias(end), F.col("vid").alias(f"v_{end}")) for end in ("src", "dst"))
-    level = cut_lineage(edges.join(s, "src").join(d, "dst").select(
-        F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst"), F.greatest(F.rint(F.col("weight") / unit), F.lit(1.0)).alias("weight")))
+    level = cut_lineage(_level(edges.join(s, "src").join(d, "dst"), _unit(total)))
     two_m = 2.0 * level.agg(F.sum("weight")).first()[0]
-    base, state = level, None  # state: communities of the nodes of the base graph
+    state, trace, levels, rounds, converged = _sweeps(level, two_m, max_levels, max_rounds, min_gain, threshold, edges_per_part)
+    result = cut_lineage(vid.join(state.withColumnRenamed("id", "vid"), "vid").select("id", "community"))
+    n = result.select("community").distinct().count()
+    return LouvainResult(result, modularity_value(edges, result), int(n), levels, rounds, converged, tuple(trace))
+
+
+def _unit(total: float) -> float:
+    return 2.0 ** (math.ceil(math.log2(total)) - SUM_BITS)
+
+
+def _level(edges: DataFrame, unit: float) -> DataFrame:
+    """The base graph: numbered ends, weights as multiples of ``unit``."""
+    weight = F.greatest(F.rint(F.col("weight") / unit), F.lit(1.0))
+    return edges.select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst"), weight.alias("weight"))
+
+
+def _by_components(edges: DataFrame, min_gain: float, threshold: float, edges_per_part: int, edges_per_task: int) -> LouvainResult:
+    """``louvain`` to the last move: small components inside tasks, the others in rounds of all of them."""
+    spark = edges.sparkSession
+    ship_package(spark)
+    edges = cut_lineage(edges)  # read several times
+    total = edges.agg(F.sum("weight")).first()[0]
+    if not total:
+        return LouvainResult(spark.createDataFrame([], "id bigint, community bigint"), 0.0, 0, 0, 0)
+    unit = _unit(total)
+    vid = cut_lineage(global_index(K.first_parts(edges), "id", "vid"))
+    kind = vid.schema["id"].dataType
+    s, d = (vid.select(F.col("id").alias(end), F.col("vid").alias(f"v_{end}"), F.col("part").alias(f"p_{end}")) for end in ("src", "dst"))
+    ends = cut_lineage(edges.join(s, "src").join(d, "dst").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight", "v_src", "v_dst", "p_src", "p_dst"))
+    two_m = 2.0 * _level(ends, unit).agg(F.sum("weight")).first()[0]
+    small, others = K.parts_of(ends, edges_per_task)
+    solved = small.repartition("part").sortWithinPartitions("part").mapInArrow(K.solver(total, unit, two_m, min_gain), f"id {kind.simpleString()}, community bigint, q double, start double, levels bigint, rounds bigint")
+    solved = cut_lineage(solved)
+    n, q, start, levels, rounds = solved.selectExpr("count(q)", "coalesce(sum(q), 0.0D)", "coalesce(sum(start), 0.0D)", "coalesce(max(levels), 0L)", "coalesce(max(rounds), 0L)").first()
+    communities, trace, converged = solved.select("id", "community"), [start] + [q] * (rounds > 0), True
+    if others is not None:
+        others = cut_lineage(others)
+        state, steps, more_levels, more_rounds, converged = _sweeps(cut_lineage(_level(others, unit)), two_m, None, None, min_gain, threshold, edges_per_part)
+        communities = cut_lineage(communities.union(vid.join(state.withColumnRenamed("id", "vid"), "vid").select("id", "community")))
+        trace = [x + steps[0] for x in trace] + [q + x for x in steps[1:]]
+        n, q = n + state.select("community").distinct().count(), q + modularity_value(others.select(F.col("v_src").alias("src"), F.col("v_dst").alias("dst"), "weight"), state, total)
+        levels, rounds = max(levels, more_levels), max(rounds, more_rounds)
+    return LouvainResult(communities, q, int(n), levels, rounds, converged, tuple(trace))
+
+
+def _sweeps(base: DataFrame, two_m: float, max_levels: int | None, max_rounds: int | None, min_gain: float, threshold: float, edges_per_part: int) -> tuple[DataFrame, list[float], int, int, bool]:
+    """Rounds of a whole graph (numbered ends, whole weights): (communities, Q by round, levels, rounds, whether not cut)."""
+    state = None  # communities of the nodes of the base graph
     trace, levels, rounds, steps, converged, adj_base = [], 0, 0, 0, True, None
     while True:  # sweeps from single nodes up, until a sweep finds nothing to move
         level, comm, assign, moved = base, state, None, 0
@@ -263,6 +315,4 @@ def louvain(edges: DataFrame, max_levels: int | None = None, max_rounds: int | N
         state = cut_lineage(comm.join(name, "community").select("id", F.col("name").alias("community")))
         if not moved or not converged:
             break
-    result = cut_lineage(vid.join(state.withColumnRenamed("id", "vid"), "vid").select("id", "community"))
-    n = result.select("community").distinct().count()
-    return LouvainResult(result, modularity_value(edges, result), int(n), levels, rounds, converged, tuple(trace))
+    return state, trace, levels, rounds, converged
