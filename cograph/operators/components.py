@@ -99,11 +99,11 @@ def _least(labels: np.ndarray) -> np.ndarray:
     return first[at]
 
 
-def _bucket(name: np.ndarray, round_no: int) -> np.ndarray:
+def _hash(name: np.ndarray, round_no: int) -> np.ndarray:
     x = name.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((SEED << 32) + round_no)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64)
+    return x ^ (x >> np.uint64(31))
 
 
 def _wants(g: _Nodes, comm: np.ndarray, tot: np.ndarray, here: np.ndarray, two_m: float, alone: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +130,13 @@ def _wants(g: _Nodes, comm: np.ndarray, tot: np.ndarray, here: np.ndarray, two_m
 
 
 def _together(g: _Nodes, here: np.ndarray, own: np.ndarray, best: np.ndarray, gain: np.ndarray, two_m: float, round_no: int) -> np.ndarray:
-    """Which of the wanted moves are made: as ``louvain._together``, they raise Q at once, among them the best one."""
-    n, m, k = len(g.k), len(here), g.k[here]
+    """Which of the wanted moves are made: as ``louvain._together``, they raise Q at once, among them the best one. Of
+    equal gains the least hash is the best: by number, a chain's nodes would wait for one another."""
+    n, m, k, luck = len(g.k), len(here), g.k[here], _hash(g.name[here], round_no)
     spare = gain * two_m / k
-    rank = (np.minimum(np.floor(np.log2(two_m / spare)), CLASSES).astype(np.int64) + 2) * BUCKETS + _bucket(g.name[here], round_no)
+    rank = (np.minimum(np.floor(np.log2(two_m / spare)), CLASSES).astype(np.int64) + 2) * BUCKETS + (luck % np.uint64(BUCKETS)).astype(np.int64)
     c, move, takes = np.concatenate([own, best]) + n, np.tile(np.arange(m), 2), np.repeat([False, True], m)
-    order = np.lexsort((move, -gain[move], c))
+    order = np.lexsort((luck[move], -gain[move], c))
     at = _starts(c[order])
     lead, group = order[at], np.empty(2 * m, np.int64)
     group[order] = _spread(np.arange(len(at)), at, 2 * m)
@@ -150,28 +151,38 @@ def _together(g: _Nodes, here: np.ndarray, own: np.ndarray, best: np.ndarray, ga
 
 
 def _settle(g: _Nodes, comm: np.ndarray, comps: int, two_m: float, min_gain: float, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rounds until no node gains by a move: (communities, rounds of each component). ``free``: only these nodes move,
-    while they are still alone, and only to a neighbour's community (refinement)."""
-    comm, rounds, live = comm.copy(), np.zeros(comps, np.int64), np.ones(comps, bool)
-    while True:
-        tot, ask = np.bincount(comm, g.k, len(g.k)), live[g.comp]
+    """Rounds until a scoring of all nodes of a component finds no mover: (communities, rounds with moves of each component).
+    Other rounds score the neighbours of movers outside the mover's new community, and movers that had to wait. ``free``: only
+    these nodes move, while they are still alone, and only to a neighbour's community (refinement)."""
+    comm, rounds, step = comm.copy(), np.zeros(comps, np.int64), 0
+    live, everyone, active = np.ones(comps, bool), np.ones(comps, bool), np.zeros(len(g.k), bool)
+    while live.any():
+        tot, ask = np.bincount(comm, g.k, len(g.k)), live[g.comp] & (everyone[g.comp] | active)
         here = np.flatnonzero(ask if free is None else ask & free & (tot[comm] == g.k))
-        if not len(here):
-            return comm, rounds
-        best, gain = _wants(g, comm, tot, here, two_m, free is not None)
-        want = (best != comm[here]) & (gain > min_gain * g.k[here])
-        here, best, gain = here[want], best[want], gain[want]
-        live = np.zeros(comps, bool)
-        live[g.comp[here]] = True
-        if not len(here):
-            return comm, rounds
-        made = _together(g, here, comm[here], best, gain, two_m, int(rounds.max()))
-        comm[here[made]] = best[made]
-        if best.min() < 0:
-            comm = np.unique(comm, return_inverse=True)[1]
-        rounds += live
-        e = live[g.comp[g.a]]
-        g = replace(g, a=g.a[e], b=g.b[e], w=g.w[e])
+        moving, active = np.zeros(comps, bool), np.zeros(len(g.k), bool)
+        if len(here):
+            best, gain = _wants(g, comm, tot, here, two_m, free is not None)
+            want = (best != comm[here]) & (gain > min_gain * g.k[here])
+            here, best, gain = here[want], best[want], gain[want]
+            moving[g.comp[here]] = True
+        if len(here):
+            made = _together(g, here, comm[here], best, gain, two_m, step)
+            comm[here[made]], active[here[~made]] = best[made], True
+            moved = np.zeros(len(g.k), bool)
+            moved[here[made]] = True
+            e = moved[g.a]
+            a, b = g.a[e], g.b[e]
+            active[b[comm[a] != comm[b]]] = True
+            if best.min() < 0:
+                comm = np.unique(comm, return_inverse=True)[1]
+        rounds, step = rounds + moving, step + 1
+        going = live & (moving | ~everyone)
+        everyone = ~moving
+        if not (going == live).all():
+            e = going[g.comp[g.a]]
+            g = replace(g, a=g.a[e], b=g.b[e], w=g.w[e])
+        live = going
+    return comm, rounds
 
 
 def _refine(g: _Nodes, comm: np.ndarray, comps: int, two_m: float, min_gain: float) -> tuple[np.ndarray, np.ndarray]:

@@ -133,6 +133,16 @@ def test_components_do_not_depend_on_who_shares_a_batch(monkeypatch):
     assert results[0] == results[1] == results[2]
 
 
+def test_a_chain_takes_few_rounds():
+    """Equal gains along a chain: its nodes do not wait for one another in the order of their numbers."""
+    n = 3_000
+    src = np.arange(n)
+    table = pa.table({"src": src, "dst": src + 1, "weight": np.ones(n), "v_src": src, "v_dst": src + 1, "part": np.zeros(n, np.int64)})
+    unit = louvain._unit(n)
+    out = pa.Table.from_batches(components.solver(float(n), unit, 2.0 * n / unit, 1e-9)(iter(table.to_batches())))
+    assert np.nansum(out["q"].to_numpy()) > 0.95 and max(out["rounds"].drop_null().to_pylist()) < 300
+
+
 @pytest.mark.parametrize("hops", [0, 1, 8])
 def test_parts_are_components(spark, monkeypatch, hops):
     """Small components are whole; what the hops do not close and what is large is left to the others. Nothing is lost."""
